@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyhub.functions import text
+from storyhub.functions import text, times, topics
+from storyhub.operators.ranking import lane_balanced
 
 
 def repair_summaries(hubs: DataFrame) -> DataFrame:
@@ -17,3 +18,128 @@ def repair_summaries(hubs: DataFrame) -> DataFrame:
         .withColumn("emptied", F.when(~F.col("bad"), F.col("ai_summary")))
         .withColumn("replaced", F.when(F.col("bad"), text.clean_headline("title")).otherwise(F.col("ai_summary")))
     )
+
+
+def title_key(title="title"):
+    return F.lower(text.strip(F.col(title)))
+
+
+def carry_over(made: DataFrame, stored: DataFrame, cached: DataFrame, as_of, hours: float = 48, newest: int | None = None) -> DataFrame:
+    """Give re-made hubs the valid summary an earlier hub of the same title
+    had: stored ones of the last hours (the oldest of a title wins, after an
+    optional cut to the newest), then cached ones (the first wins)."""
+    recent = stored.filter(
+        text.is_valid_summary("ai_summary") & (F.col("last_updated_at") >= times.hours_before(as_of, hours))
+    )
+    if newest is not None:
+        recent = recent.orderBy(F.col("last_updated_at").desc(), F.col("hub_id")).limit(newest)
+    order = F.struct(F.col("last_updated_at"), F.col("hub_id"))
+    by_title = recent.groupBy(title_key().alias("__key")).agg(F.min_by("ai_summary", order).alias("__stored"))
+    from_cache = (
+        cached.filter(text.is_valid_summary("ai_summary"))
+        .groupBy(title_key().alias("__key"))
+        .agg(F.min_by("ai_summary", "ord").alias("__cached"))
+    )
+    return (
+        made.withColumn("__key", title_key())
+        .join(by_title, "__key", "left")
+        .join(from_cache, "__key", "left")
+        .withColumn("ai_summary", F.coalesce("ai_summary", "__stored", "__cached"))
+        .drop("__key", "__stored", "__cached")
+    )
+
+
+def cache_lookup(asked: DataFrame, cache: DataFrame, as_of) -> DataFrame:
+    """Add `cached_text` from live cache rows; null is a miss."""
+    live = (
+        cache.filter(F.col("expires_at") > times.as_ts(as_of))
+        .groupBy("content_hash")
+        .agg(F.min_by("text", "ord").alias("cached_text"))
+    )
+    return asked.join(live, "content_hash", "left")
+
+
+def summarising_order(hubs: DataFrame, as_of, hours: float = 48) -> DataFrame:
+    return hubs.filter(F.col("last_updated_at") >= times.hours_before(as_of, hours)).orderBy(
+        F.col("item_count").desc(), F.col("hub_id")
+    )
+
+
+def hub_status():
+    """valid / multi / single, the split a summarising run starts from."""
+    own = text.strip(F.coalesce("ai_summary", F.lit("")))
+    multi = F.when(text.is_valid_summary(own), "valid").otherwise("multi")
+    single = F.when(F.length(own) > 10, "valid").otherwise("single")
+    return F.when(F.col("item_count") > 1, multi).otherwise(single)
+
+
+PROMPT_VERSION = "v2.2-compact"
+SYSTEM_PROMPT = (
+    "Neutral news editor. Write a 1-2 sentence factual briefing (<=35 words) strictly from the reports. "
+    "Plain English, no source names, no quotes, no invented facts."
+)
+
+
+def summary_plan(
+    hubs: DataFrame,
+    items: DataFrame,
+    cache: DataFrame,
+    as_of,
+    hours: float = 48,
+    version: str = PROMPT_VERSION,
+    system: str = SYSTEM_PROMPT,
+    chunk_above: int = 850,
+) -> DataFrame:
+    """Work plan up to the model call: status, fallback, prompt, chunks, hash.
+
+    Whole-hub facts are aggregates; only the six chosen items of a hub are ever
+    listed, so a hub of any size costs a bounded row.
+    """
+    recent = hubs.filter(F.col("last_updated_at") >= times.hours_before(as_of, hours))
+    mine = items.filter(F.col("published_at") >= times.hours_before(as_of, hours)).withColumnRenamed("cluster_id", "hub_id")
+    told = F.concat_ws(" ", "title", "raw_summary")
+    described = F.col("raw_summary").isNotNull() & (F.col("raw_summary") != "")
+    facts = mine.groupBy("hub_id").agg(
+        F.count("*").alias("items"),
+        F.bool_or(topics.is_sensitive(told)).alias("sensitive"),
+        F.bool_or(topics.is_protest(told)).alias("protest"),
+        F.min_by("raw_summary", F.when(described, F.col("ord"))).alias("snippet"),
+    )
+    chosen = lane_balanced(mine, hub="hub_id")
+    lines = chosen.select("hub_id", "position", text.report_line("title", "raw_summary").alias("line"))
+    prompts = (
+        lines.groupBy("hub_id")
+        .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("l"))
+        .select("hub_id", text.prompt_text(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
+    )
+    plan = recent.select("hub_id", "title").join(facts, "hub_id", "left").join(prompts, "hub_id", "left")
+    n = F.coalesce("items", F.lit(0))
+    flagged = F.coalesce("sensitive", F.lit(False)) | topics.is_sensitive(F.col("title"))
+    trivial = (n == 0) | ((n == 1) & (F.length(text.clean_summary("snippet")) < 40))
+    tokens = text.estimate_tokens("prompt")
+    plan = (
+        plan.withColumn("is_protest", F.coalesce("protest", F.lit(False)) | topics.is_protest("title"))
+        .withColumn("fallback", F.when(flagged, text.clean_headline("title")).otherwise(text.fallback_summary("title", "snippet")))
+        .withColumn("tokens", tokens)
+        .withColumn("job", F.when(tokens > 2000, "long_input").otherwise("short_medium"))
+        .withColumn("content_hash", text.content_hash(F.lit(version), "job", F.lit(system), "prompt"))
+        .withColumn("chunks", F.when(F.col("tokens") > chunk_above, text.sentence_chunks("prompt")))
+    )
+    found = cache_lookup(plan, cache, as_of)
+    status = (
+        F.when(flagged, "flagged")
+        .when(trivial, "trivial_bypass")
+        .when(F.col("cached_text").isNotNull() & F.col("chunks").isNull(), "cached")
+        .otherwise("to_generate")
+    )
+    return found.withColumn("status", status).select(
+        "hub_id", "status", "is_protest", "fallback", "prompt", "tokens", "job", "content_hash", "chunks", "cached_text"
+    )
+
+
+def drop_embedding(hubs: DataFrame, items: str | None = "items") -> DataFrame:
+    """Take the vector out of a flat frame, or out of nested items."""
+    out = hubs.drop("embedding")
+    if items in out.columns:
+        out = out.withColumn(items, F.transform(items, lambda x: x.dropFields("embedding")))
+    return out
