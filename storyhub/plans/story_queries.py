@@ -110,7 +110,7 @@ def j7(spark, path):
 
 @query(
     "J8_summary_carry_over",
-    f"""WITH d AS (SELECT lower(trim(title)) AS k, arg_min(raw_summary, pub_s * 10000000000 + item_id) AS s FROM v_items
+    f"""WITH d AS (SELECT lower(trim(title)) AS k, arg_min(raw_summary, pub_s * 1000000000 + item_id) AS s FROM v_items
       WHERE item_id % 2 = 0 AND pub_s >= {NOW} - 172800 AND {t.valid_summary('raw_summary')} GROUP BY 1),
     f AS (SELECT lower(trim(title)) AS k, arg_min('File: ' || raw_summary, ord) AS s FROM v_items
       WHERE {t.valid_summary("'File: ' || raw_summary")} GROUP BY 1)
@@ -459,12 +459,12 @@ _BIGGEST = "(SELECT hub_id FROM v_hubs ORDER BY item_count DESC, hub_id LIMIT 1)
 
 @query(
     "Kg_P10_hub_detail",
-    f"SELECT hub_id, item_id, pub_s AS published_at FROM v_hubs JOIN v_story ON hub_id = cluster_id WHERE hub_id = md5('')",
+    f"SELECT hub_id, item_id, pub_s AS published_at FROM v_hubs JOIN v_story ON hub_id = cluster_id WHERE hub_id = {_BIGGEST}",
 )
 def kg(spark, path):
-    import hashlib
-
-    wanted = hashlib.md5(b"").hexdigest()
+    # The reader opens one hub page: here that of the biggest hub.
+    h = tb.hubs(spark, path).select("hub_id", "item_count")
+    wanted = ranking.top_n(h, [F.col("item_count").desc(), F.col("hub_id")], 1).first()["hub_id"]
     out = views.hub_with_items(
         tb.hubs(spark, path).select("hub_id", "title"),
         tb.story_items(spark, path).select("cluster_id", "item_id", "published_at"), wanted,
