@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "story_queries", "engine_queries"]
+MODULES = ["text_queries", "story_queries", "engine_queries", "stream_queries"]
 
 
 def load_all():

@@ -54,3 +54,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if context.master.startswith("local"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, for stream state and output."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root.isDefined():
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{root.get()}/{name}-{uuid.uuid4().hex}"
