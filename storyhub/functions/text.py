@@ -29,6 +29,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`. Spark inlines a Column at
+    every use, so a costly cleaner used three times would run three times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sub(c: Column, pattern: str, replacement: str = "") -> Column:
     """regexp_replace with a literal replacement."""
     return F.regexp_replace(c, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
@@ -92,7 +98,7 @@ def jaccard(words_a, words_b) -> Column:
 
 
 def title_jaccard(norm_a, norm_b) -> Column:
-    return jaccard(title_words(norm_a), title_words(norm_b))
+    return let(title_words(norm_a), lambda a: let(title_words(norm_b), lambda b: jaccard(a, b)))
 
 
 def decode_entities(c: Column) -> Column:
@@ -166,29 +172,35 @@ def sentences(c) -> Column:
 
 def fallback_summary(title, raw, cut: int = 180) -> Column:
     """First sentence of the cleaned text when it adds something, else the headline."""
-    headline = clean_headline(title)
+
+    def choose(lead, headline):
+        return F.when((F.length(lead) > 25) & (F.lower(lead) != F.lower(headline)), lead).otherwise(headline)
+
     lead = F.substring(first_sentence(clean_summary(raw)), 1, cut)
-    return F.when((F.length(lead) > 25) & (F.lower(lead) != F.lower(headline)), lead).otherwise(headline)
+    return let(lead, lambda x: let(clean_headline(title), lambda h: choose(x, h)))
 
 
 def single_item_summary(title, raw, cut: int = 160) -> Column:
     lead = strip(first_sentence(clean_summary(raw)))
-    return F.when(F.length(lead) > 25, F.substring(lead, 1, cut)).otherwise(clean_headline(title))
+    return let(lead, lambda x: F.when(F.length(x) > 25, F.substring(x, 1, cut)).otherwise(clean_headline(title)))
 
 
 def report_line(title, raw) -> Column:
     """`- headline: snippet`, or the headline alone when the snippet repeats it."""
-    headline = clean_headline(title)
+
+    def line(headline, snippet):
+        low_title, low_snippet = F.lower(headline), F.lower(snippet)
+        adds = (
+            (snippet != "")
+            & (low_snippet != low_title)
+            & ~F.contains(low_title, F.substring(low_snippet, 1, 35))
+        )
+        return F.when(adds, F.concat(F.lit("- "), headline, F.lit(": "), snippet)).otherwise(
+            F.concat(F.lit("- "), headline)
+        )
+
     snippet = F.substring(clean_summary(raw), 1, 110)
-    low_title, low_snippet = F.lower(headline), F.lower(snippet)
-    adds = (
-        (snippet != "")
-        & (low_snippet != low_title)
-        & ~F.contains(low_title, F.substring(low_snippet, 1, 35))
-    )
-    return F.when(adds, F.concat(F.lit("- "), headline, F.lit(": "), snippet)).otherwise(
-        F.concat(F.lit("- "), headline)
-    )
+    return let(clean_headline(title), lambda h: let(snippet, lambda s: line(h, s)))
 
 
 def meta_description(summary, title, template: str) -> Column:
@@ -206,20 +218,27 @@ def feature_text(title, summary=None) -> Column:
     """Text the hashed features are built from: the title twice and the
     cleaned summary, or the title alone when the summary adds nothing."""
     raw = col(title)
-    cut = squeeze(cut_title_tail(raw))
-    head = F.when(F.length(cut) < 3, strip(raw)).otherwise(cut)
+    head = let(squeeze(cut_title_tail(raw)), lambda cut: F.when(F.length(cut) < 3, strip(raw)).otherwise(cut))
     if summary is None:
         return F.coalesce(head, F.lit(""))
-    body = sub(F.coalesce(col(summary), F.lit("")), TAG, " ")
-    for pattern in lx.FEATURE_BOILERPLATE:
-        body = sub(body, "(?i)" + pattern, " ")
+
+    def without_boilerplate(body):
+        cleaned = body
+        for pattern in lx.FEATURE_BOILERPLATE:
+            cleaned = sub(cleaned, "(?i)" + pattern, " ")
+        # One look decides whether any of the patterns can match at all.
+        return F.when(body.rlike("(?i)" + any_of(lx.FEATURE_BOILERPLATE_HINTS)), cleaned).otherwise(body)
+
+    def whole(head, body):
+        key_head = sub(F.lower(head), NOT_WORD_OR_SPACE)
+        key_body = sub(F.lower(body), NOT_WORD_OR_SPACE)
+        trivial = (F.length(body) < 15) | let(key_body, lambda k: (k == key_head) | (k == ""))
+        return F.when(trivial, head).otherwise(F.concat(head, F.lit(". "), head, F.lit(". "), body))
+
+    body = let(sub(F.coalesce(col(summary), F.lit("")), TAG, " "), without_boilerplate)
     body = sub(body, r"(?U)\A[^—]{1,120}\s+—\s+")
     body = squeeze(cut_title_tail(body))
-    key_head = sub(F.lower(head), NOT_WORD_OR_SPACE)
-    key_body = sub(F.lower(body), NOT_WORD_OR_SPACE)
-    trivial = (F.length(body) < 15) | (key_body == key_head) | (key_body == "")
-    full = F.concat(head, F.lit(". "), head, F.lit(". "), body)
-    return F.coalesce(F.when(trivial, head).otherwise(full), F.lit(""))
+    return F.coalesce(let(head, lambda h: let(body, lambda b: whole(h, b))), F.lit(""))
 
 
 def feature_tokens(text, stop_words=None) -> Column:

@@ -2,8 +2,8 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every
 step is a min-aggregate and a join, so a node with very many edges is reduced
-map-side and its join partition may be split by AQE. Lineage is cut with a
-reliable checkpoint each round.
+map-side and its join partition may be split by AQE. Lineage is cut by writing
+the edges of each round to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyhub.session import ensure_checkpoint_dir
+from storyhub.session import materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,11 +39,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, component) with the smallest node id as component. `edges` has
     bigint columns a and b; nodes without edges come from `nodes` (column id)."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    work = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
+    work = materialize(edges.select("a", "b").filter("a <> b").distinct())
     mark = None
     for _ in range(max_rounds):
-        work = _small_star(_large_star(work)).checkpoint()
+        work = materialize(_small_star(_large_star(work)))
         now = work.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == tuple(now):
             break

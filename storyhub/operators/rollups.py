@@ -62,6 +62,7 @@ def hub_cards(items: DataFrame, as_of, hub="cluster_id", order="ord") -> DataFra
 
     agg = items.groupBy(hub).agg(
         F.count("*").alias("item_count"),
+        first(F.col("title")).alias("title"),
         *lane_count_columns(lane, aggregator_as="mainstream"),
         F.countDistinct(name).alias("__names"),
         F.min(when).alias("first_seen_at"),

@@ -10,6 +10,7 @@ from storyhub.functions import text, times, topics
 from storyhub.functions.text import col, contains_any
 from storyhub.operators.ranking import first_n, top_n
 from storyhub.operators.rollups import hub_cards, hub_languages
+from storyhub.session import materialize
 
 FACT_CHECK_QUERIES = ["fact check", "fact-check", "factcheck"]
 
@@ -78,7 +79,7 @@ def items_of_hubs(items: DataFrame, hub_ids: DataFrame) -> DataFrame:
 
 def front_page(hubs: DataFrame, items: DataFrame, as_of) -> DataFrame:
     """View model of the front page: hub, card columns, languages, topic, region."""
-    cards = hub_cards(items, as_of).withColumnRenamed("cluster_id", "hub_id")
+    cards = hub_cards(items, as_of).withColumnRenamed("cluster_id", "hub_id").drop("title")
     langs = hub_languages(items).withColumnRenamed("cluster_id", "hub_id")
     page = hubs.select("hub_id", "title", "ai_summary").join(cards, "hub_id").join(langs, "hub_id")
     return page.withColumn("topic", topics.topic_of("title")).withColumn(
@@ -224,6 +225,8 @@ def topic_sections(page: DataFrame, shown: int = 3, less: int = 2, topics_map=No
         "hub_id", "title", "source_count", "last_updated_at", lanes.alias("__lanes"),
         F.explode(F.array_compact(F.array(*hits, F.lit("*")))).alias("section"),
     )
+    # Read five times below; the page behind it is computed once.
+    rows = materialize(rows)
     counts = rows.groupBy("section").agg(F.count("*").alias("__n"))
     names = page.sparkSession.createDataFrame([(n,) for n in topics_map], "name string")
     sizes = names.join(counts, names.name == counts.section, "left").select(

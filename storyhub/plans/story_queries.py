@@ -62,8 +62,7 @@ view(
 )
 def flagship(spark, path):
     cols = ["hub_id", "title", "item_count", "mainstream_count", "grassroots_count", "discourse_count", "source_count", "last_updated_at"]
-    cards = rollups.hub_cards(joined(spark, path), AS_OF).withColumnRenamed("cluster_id", "hub_id")
-    stories = tb.hubs(spark, path).select("hub_id", "title").join(cards, "hub_id")
+    stories = rollups.hub_cards(joined(spark, path), AS_OF).withColumnRenamed("cluster_id", "hub_id")
     return seconds(ranking.top_n(stories, [F.col("last_updated_at").desc(), F.col("hub_id")], 200).select(*cols), "last_updated_at")
 
 
