@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyhub.functions import ids, text, times
 from storyhub.functions.sql import register_functions, register_match_hubs
 from storyhub.operators import clustering, dedup, digest, features, quota, ranking, retention, similarity, summaries
+from storyhub.plans import folds
 from storyhub.plans import twins as t
 from storyhub.plans.catalog import query, view
 from storyhub.plans.story_queries import AS_OF, NOW, joined, seconds
@@ -212,19 +213,17 @@ def clustered(spark, path):
     return clustering.cluster_items(run_window(joined(spark, path).drop("cluster_id")), scope="run")
 
 
-@query("K1_event_clusters")
+@query("K1_event_clusters", folds.EVENT_CLUSTERS)
 def k1(spark, path):
     return clustered(spark, path).select("item_id", "run", "cluster_id", "role", "merged_into")
 
 
-@query("K1_event_hubs")
+@query("K1_event_hubs", folds.EVENT_HUBS)
 def k1b(spark, path):
-    return seconds(clustering.hubs_of(clustered(spark, path), AS_OF), "first_seen_at", "last_updated_at")
+    return seconds(clustering.hubs_of(clustered(spark, path), AS_OF, scope="run"), "first_seen_at", "last_updated_at")
 
 
-@query(
-    "K1_vector_clusters",
-)
+@query("K1_vector_clusters", folds.VECTOR_CLUSTERS)
 def k1c(spark, path):
     v = tb.vectors(spark, path)
     rows = v.select(
@@ -239,31 +238,33 @@ def _aggregator(spark, path, band=2.0):
     return i.filter("source_id % 4 = 3"), i.filter("source_id % 4 <> 3")
 
 
-@query("K2_aggregator_unique")
+@query("K2_aggregator_unique", folds.AGGREGATOR_UNIQUE)
 def k2(spark, path):
     agg, direct = _aggregator(spark, path)
     unique, _ = dedup.dedup_aggregator(agg, direct, scope="run")
     return unique.select("item_id", "run")
 
 
-@query("K2_hit_log")
+@query("K2_hit_log", folds.HIT_LOG)
 def k2log(spark, path):
     agg, direct = _aggregator(spark, path)
     _, log = dedup.dedup_aggregator(agg, direct, band_hours=48, scope="run")
-    return log.select("item_id", "matched_item", "reason", "similarity", "against")
+    return log.select("item_id", "matched_item", "reason", F.round("similarity", 6).alias("similarity"), "against")
 
 
-@query("A14_dedup_report")
+@query("A14_dedup_report", folds.DEDUP_REPORT)
 def a14(spark, path):
     agg, direct = _aggregator(spark, path)
     _, log = dedup.dedup_aggregator(agg, direct, band_hours=48, scope="run")
     return dedup.dedup_report(agg, log)
 
 
-@query("K4_hub_duplicates")
+@query("K4_hub_duplicates", folds.HUB_DUPLICATES)
 def k4(spark, path):
     i = tb.story_items(spark, path).withColumn("lang_hub", F.col("language"))
-    return dedup.hub_duplicates(i, hub="lang_hub").select("item_id", "matched_item", "reason", "similarity")
+    return dedup.hub_duplicates(i, hub="lang_hub").select(
+        "item_id", "matched_item", "reason", F.round("similarity", 6).alias("similarity")
+    )
 
 
 # -- digest -----------------------------------------------------------------------------
@@ -302,7 +303,7 @@ def kd(spark, path):
     return out.withColumn("edition", F.col("edition").cast("string"))
 
 
-@query("K3_digest_selection")
+@query("K3_digest_selection", folds.digest(_EDITIONS))
 def k3(spark, path):
     return digest.select_digest(tb.hubs(spark, path), joined(spark, path)).withColumn("edition", F.col("edition").cast("string"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyhub.functions import lexicon as lx
 from storyhub.functions import media, text, times, topics
+from storyhub.plans import folds
 from storyhub.plans import twins as t
 from storyhub.plans.catalog import query, view
 from storyhub.sources import tables as tb
@@ -543,13 +544,16 @@ def p18(spark, path):
     )
 
 
-@query("K5_distinct_lines")
+view("v_doc_lines", _prompt_lines_sql("documents", "doc_id", "text"))
+
+
+@query("K5_distinct_lines", folds.distinct_lines("v_doc_lines", "doc_id", "lines"))
 def k5(spark, path):
     d = tb.table(spark, path, "documents")
     return d.select("doc_id", F.array_join(text.distinct_lines(text.prompt_lines("text")), "\n").alias("kept"))
 
 
-@query("W8_sentence_chunks")
+@query("W8_sentence_chunks", folds.CHUNKS)
 def w8(spark, path):
     d = tb.table(spark, path, "documents").select("doc_id", F.explode(text.sentence_chunks("text")).alias("chunk"))
     return d.select("doc_id", "chunk", text.estimate_tokens("chunk").alias("tokens"))

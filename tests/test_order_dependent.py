@@ -26,7 +26,7 @@ def random_items(seed, n, near=0.5):
         titles.append(ws)
         at = None if rng.random() < 0.05 else 1704067200 + rng.randrange(0, 12 * 3600, 300)
         rows.append(
-            dict(ord=i * 7 + 3, item_id=i, title=" ".join(ws), norm=" ".join(ws), at=at, publisher=rng.choice(["", "p1", "p2", "p3 "]),
+            dict(ord=2**60 + i * 7 + 3, item_id=i, title=" ".join(ws), norm=" ".join(ws), at=at, publisher=rng.choice(["", "p1", "p2", "p3 "]),
                  url=rng.choice([None, f"https://u/{rng.randrange(n)}"]))
         )
     return rows
