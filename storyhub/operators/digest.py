@@ -204,7 +204,6 @@ def waterfall(due: DataFrame, sent: DataFrame, limits: dict[str, int], order: li
 
 def send_record(assigned: DataFrame, hub_ids: list[str], sent_at, failed: DataFrame | None = None) -> DataFrame:
     """Row for the send log: counts per provider, deferred count, status."""
-    failures = (failed.agg(F.count("*").alias("__failed")) if failed is not None else None)
     counts = assigned.groupBy("provider").agg(F.count("*").alias("n"))
     row = counts.agg(
         F.coalesce(F.sum(F.when(F.col("provider") != "deferred", F.col("n"))), F.lit(0)).alias("subscriber_count"),
@@ -214,8 +213,7 @@ def send_record(assigned: DataFrame, hub_ids: list[str], sent_at, failed: DataFr
         ).alias("provider_counts"),
     )
     row = row.withColumn("sent_at", times.as_ts(sent_at)).withColumn("hub_ids", F.array(*[F.lit(h) for h in hub_ids]).cast("array<string>"))
-    if failures is None:
+    if failed is None:
         return row.withColumn("status", F.lit("sent"))
-    return row.join(F.broadcast(failures), F.lit(True)).withColumn(
-        "status", F.when(F.col("__failed") > 0, "partial").otherwise("sent")
-    ).drop("__failed")
+    failures = failed.agg(F.count("*")).scalar()
+    return row.withColumn("status", F.when(failures > 0, "partial").otherwise("sent"))

@@ -89,7 +89,7 @@ def hit_rate(hits, total) -> Column:
     return F.format_string("%.1f%%", share)
 
 
-def rolling_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 3600) -> DataFrame:
+def rolling_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 600) -> DataFrame:
     """Requests and tokens of the last `seconds` per model, at every call.
 
     The window runs per model and time slice; calls near the end of a slice
@@ -100,7 +100,7 @@ def rolling_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 3600
     width, span = slice_seconds * 1_000_000, seconds * 1_000_000
     own = F.floor(at / width)
     with_slice = calls.withColumn("__at", at).withColumn(
-        "__slice", F.explode(F.array_distinct(F.array(own, F.floor((at + span) / width))))
+        "__slice", F.explode(F.sequence(own, F.floor((at + span) / width)))
     )
     with_slice = with_slice.withColumn("__own", F.col("__slice") == F.floor(F.col("__at") / width))
     w = W.partitionBy("model", "__slice").orderBy("__at").rangeBetween(-span, 0)

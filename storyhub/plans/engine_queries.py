@@ -172,6 +172,22 @@ def j5b(spark, path):
     return out.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("bigint").alias("place"))
 
 
+@query(
+    "J4_item_pairs",
+    """WITH v AS (SELECT item_id, ord, pub_s // 172800 AS run, vec FROM v_items JOIN v_item_vectors USING (item_id)),
+    p AS (SELECT a.run::VARCHAR AS run, a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity
+      FROM v a JOIN v b ON a.run = b.run AND a.ord < b.ord) SELECT * FROM p WHERE similarity >= 0.45""",
+)
+def j4items(spark, path):
+    i = run_window(tb.items(spark, path)).select("item_id", "ord", "run", features.token_text().alias("tokens")).filter("tokens <> ''")
+    pairs = similarity.similar_pairs(i, 0.4499995, "run", key="ord", vector="tokens")
+    ids_of = i.select("ord", "item_id")
+    out = pairs.join(ids_of.withColumnsRenamed({"ord": "a", "item_id": "ia"}), "a").join(ids_of.withColumnsRenamed({"ord": "b", "item_id": "ib"}), "b")
+    return out.select(
+        F.col("scope").alias("run"), F.col("ia").alias("a"), F.col("ib").alias("b"), F.round("similarity", 6).alias("similarity")
+    )
+
+
 @query("J4_near_pairs_lsh")
 def j4lsh(spark, path):
     return similarity.near_pairs(tb.vectors(spark, path), 0.45, key="item_id")
@@ -308,6 +324,20 @@ def k3(spark, path):
     return digest.select_digest(tb.hubs(spark, path), joined(spark, path)).withColumn("edition", F.col("edition").cast("string"))
 
 
+@query(
+    "J13_shared_urls",
+    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, item_id % 50 AS url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
+      WHERE coalesce(primary_rank, fallback_rank) IS NOT NULL AND i.pub_s >= as_of - 129600)
+    SELECT strftime(to_timestamp(a.as_of) AT TIME ZONE 'UTC', '%Y-%m-%d') AS edition, a.hub_id, string_agg(DISTINCT b.hub_id, ',' ORDER BY b.hub_id) AS overlaps
+    FROM u a JOIN u b ON a.as_of = b.as_of AND a.url = b.url AND a.hub_id <> b.hub_id GROUP BY a.as_of, a.hub_id""",
+)
+def j13(spark, path):
+    c = digest.edition_candidates(tb.hubs(spark, path))
+    i = joined(spark, path).withColumn("url", (F.col("item_id") % 50).cast("string"))
+    out = digest.shared_urls(c, i)
+    return out.select(F.col("edition").cast("string").alias("edition"), "hub_id", F.array_join("overlaps", ",").alias("overlaps"))
+
+
 LIMITS = {"resend": 95, "brevo": 290, "gmail": 100}
 SENT_SQL = "(VALUES ('resend', 20), ('gmail', 130))"
 
@@ -342,6 +372,22 @@ def s18(spark, path):
 # -- summaries and quota --------------------------------------------------------------------
 
 
+def _prompts_sql():
+    from storyhub.plans.text_queries import _prompt_lines_sql
+
+    lanes = "CASE lane WHEN 'mainstream' THEN 0 WHEN 'grassroots' THEN 1 WHEN 'discourse' THEN 2 ELSE 3 END"
+    ranked = f"""r AS (SELECT cluster_id AS hub_id, item_id, ord, row_number() OVER (PARTITION BY cluster_id, {lanes} ORDER BY ord) AS lr,
+        count(*) OVER (PARTITION BY cluster_id) AS n, {lanes} AS ln FROM v_joined),
+      p AS (SELECT *, n > 6 AND ln < 3 AND lr <= 2 AS picked FROM r),
+      o AS (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY picked DESC, CASE WHEN picked THEN ln ELSE 3 END, ord) AS position FROM p),
+      j AS (SELECT hub_id, string_agg(line, chr(10) ORDER BY position) AS txt FROM o JOIN v_report_lines USING (item_id) WHERE position <= 6 GROUP BY 1),
+      lined AS ({_prompt_lines_sql('j', 'hub_id', 'txt')}), k AS ({folds.distinct_lines('lined', 'hub_id', 'lines')})"""
+    system = summaries.SYSTEM_PROMPT.replace("'", "''")
+    job = f"CASE WHEN {t.tokens('kept')} > 2000 THEN 'long_input' ELSE 'short_medium' END"
+    return f"""WITH {ranked} SELECT hub_id, kept AS prompt, {t.tokens('kept')} AS tokens, {job} AS job,
+      sha256('{summaries.PROMPT_VERSION}|' || {job} || '|{system}|' || lower({t.strip('kept')})) AS content_hash FROM k"""
+
+
 @query(
     "K6_summary_plan",
     f"""WITH i AS (SELECT *, title || ' ' || raw_summary AS told FROM v_joined),
@@ -358,11 +404,11 @@ def k6(spark, path):
     return plan.select("hub_id", "is_protest", "status", "fallback")
 
 
-@query("K6_prompts")
+@query("K6_prompts", _prompts_sql())
 def k6b(spark, path):
     cache = spark.createDataFrame([], "content_hash string, text string, expires_at timestamp, ord long")
     plan = summaries.summary_plan(tb.hubs(spark, path), joined(spark, path), cache, AS_OF, hours=24 * 365)
-    return plan.select("hub_id", "prompt", "tokens", "job", "content_hash", F.size("chunks").alias("chunks"))
+    return plan.select("hub_id", "prompt", "tokens", "job", "content_hash")
 
 
 EVENT_LIMITS = [
@@ -572,6 +618,47 @@ def _feed_out(out, *extra):
     )
 
 
+@query(
+    "S10_sanitized_xml",
+    """SELECT item_id, '<a>AT&amp;T &lt; ' || item_id || ' &#38; b &amp;nbsp; c</a>' AS clean FROM v_items""",
+)
+def s10(spark, path):
+    from storyhub.functions import media
+
+    doc = F.col("item_id").cast("string")
+    raw = F.concat(F.lit("<a>AT&T <style>p & q</style>&lt; "), doc, F.lit(" <SCRIPT x='1'>if (a && b) {}\n</SCRIPT>&#38; b &nbsp; c</a>"))
+    cleaned = F.replace(media.sanitize_xml(raw), F.lit("  "), F.lit(" "))
+    return tb.items(spark, path).select("item_id", cleaned.alias("clean"))
+
+
+@query(
+    "S15_json_cache",
+    "SELECT hub_id, title, item_count, last_s AS last_updated_at FROM v_hubs",
+)
+def s15(spark, path):
+    from storyhub.session import scratch_path
+
+    folder = scratch_path(spark, "cache")
+    rows = tb.hubs(spark, path).select("hub_id", "title", "item_count", "last_updated_at")
+    sinks.write_json(rows, folder)
+    return seconds(sinks.read_json(spark, folder, rows.schema, whole_file=False), "last_updated_at")
+
+
+@query(
+    "S21_truncated_state",
+    "SELECT count(*) AS items_before, 0::BIGINT AS items_after FROM v_items",
+)
+def s21(spark, path):
+    from storyhub.session import scratch_path
+
+    folder = scratch_path(spark, "state")
+    sinks.write_state(tb.items(spark, path), folder)
+    before = spark.read.parquet(folder).agg(F.count("*").alias("items_before")).first()["items_before"]
+    sinks.truncate(spark, folder)
+    after = spark.read.parquet(folder).agg(F.count("*").alias("items_after"))
+    return after.select(F.lit(before).cast("bigint").alias("items_before"), "items_after")
+
+
 @query("S2_community_feeds", f"WITH f AS ({_feed_sql('Civic Post', image=False)}) SELECT f.*, 'Reddit community discussion · ' || name AS og_description FROM f JOIN v_sources USING (source_id)")
 def s2(spark, path):
     out = feeds.community_items(feed_payloads(spark, path).drop("feed_url").withColumnRenamed("item_id", "k"), AS_OF, cap=None)

@@ -577,10 +577,10 @@ def p5(spark, path):
 
 @query(
     "P6_topic_filter",
-    f"SELECT hub_id FROM v_page WHERE contains(lower(topic), 'health') OR contains(lower(title), 'health') OR {_kw_sql('title', 'health')}",
+    f"SELECT hub_id FROM v_page WHERE contains(lower(topic), 'technology') OR contains(lower(title), 'technology') OR {_kw_sql('title', 'technology')}",
 )
 def p6(spark, path):
-    return views.filter_front_page(page(spark, path), topic="Health").select("hub_id")
+    return views.filter_front_page(page(spark, path), topic="Technology").select("hub_id")
 
 
 @query(

@@ -166,10 +166,9 @@ def edition_items(payloads: DataFrame, sources: DataFrame, default_edition: str,
     that of the default edition."""
     rows = first_n(parse_feed(payloads), "edition", "feed_pos", cap)
     ids = sources.groupBy("name").agg(F.max("source_id").alias("__id"))
-    default = sources.filter(F.col("name") == default_edition).agg(F.max("source_id").alias("__default"))
-    # A single aggregate row: the broadcast is bounded whatever the registry.
-    rows = rows.join(ids, rows.edition == ids.name, "left").join(F.broadcast(default), F.lit(True), "left")
-    rows = rows.withColumn("source_id", F.coalesce("__id", "__default")).withColumn("source_name", F.col("edition"))
+    default = sources.filter(F.col("name") == default_edition).agg(F.max("source_id")).scalar()
+    rows = rows.join(ids, rows.edition == ids.name, "left")
+    rows = rows.withColumn("source_id", F.coalesce("__id", default)).withColumn("source_name", F.col("edition"))
     rows = rows.withColumn("lane", F.lit("aggregator"))
     snippet = F.coalesce(_blank(F.col("snippet")), F.col("content"), F.col("title"))
     out = _map(rows, fetched_at, "Untitled Story", snippet, None, [F.lit(True).alias("via_google_news")])

@@ -74,7 +74,7 @@ def test_members_reach_threshold_and_runs_are_separate(spark):
     out = clustering.cluster_items(items, scope="run").cache()
     assert out.count() == items.count()
     assert out.filter("cluster_id IS NULL").count() == 0
-    assert out.groupBy("cluster_id").agg(F.countDistinct("run").alias("n")).filter("n > 1").count() == 0
+    assert out.groupBy("hub_ord").agg(F.countDistinct("run").alias("n")).filter("n > 1").count() == 0
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         again = clustering.cluster_items(items, scope="run")
@@ -163,3 +163,18 @@ def test_lines_and_chunks_equal_loops(spark):
     for r in docs.collect():
         assert r["kept"] == loops.keep_lines(r["lines"])
         assert r["chunks"] == loops.chunks(r["text"])
+
+
+def test_full_hub_refuses_items_far_from_its_lead(spark):
+    import math
+
+    rows = []
+    for i in range(9):
+        a = math.radians(30 * i)
+        rows.append(dict(ord=i, item_id=i, title=f"headline number{i}", norm=f"headline number{i}", at=1704067200, publisher=f"p{i}", url=f"u{i}",
+                         embedding=[math.cos(a), math.sin(a)]))
+    want = loops.cluster(rows)
+    assert len({h for h, _, _ in want.values()}) > 1
+    df = frame(spark, rows).join(spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord")
+    for size in (100, 0):
+        assert assigned(clustering.cluster_vectors(df, group_rows=size)) == want
