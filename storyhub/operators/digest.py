@@ -195,10 +195,13 @@ def waterfall(due: DataFrame, sent: DataFrame, limits: dict[str, int], order: li
     )
     # One row per provider: a window over the whole ladder is a handful of rows.
     upto = F.sum("budget").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ladder = budget.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("budget")).select("provider", "lo", "hi")
+    steps = budget.withColumn("hi", upto).filter("budget > 0").select(F.struct("hi", "provider").alias("step"))
+    # The ladder as one sorted array: the first step that reaches a rank serves it.
+    steps = steps.agg(F.sort_array(F.collect_list("step"))).scalar()
     by = by or subscriber_order()
     ranked = top_n(due, by, ceiling).withColumn("__rn", F.row_number().over(W.orderBy(*by)))
-    served = ranked.join(F.broadcast(ladder), (F.col("__rn") > F.col("lo")) & (F.col("__rn") <= F.col("hi"))).select("email", "provider")
+    step = F.get(F.filter("__steps", lambda s: s["hi"] >= F.col("__rn")), F.lit(0))
+    served = ranked.withColumn("__steps", steps).select("email", step["provider"].alias("provider")).filter("provider IS NOT NULL")
     return due.join(served, "email", "left").withColumn("provider", F.coalesce("provider", F.lit("deferred")))
 
 

@@ -80,6 +80,15 @@ view(
 VECTOR_CLUSTERS = f"""SELECT d.ord AS ord, d.hub AS hub_ord, d.role AS role, d.merged AS merged_into
     FROM (SELECT unnest(decided) AS d FROM ({fold('v_vector_rows', 'run', _CLUSTER_ROW, _DECIDE_CLUSTER)}))"""
 
+view(
+    "v_last_rows",
+    """SELECT 1 AS run, d.ord, r FROM v_run_rows d WHERE d.ord IN (SELECT min(ord) FROM v_items
+      WHERE pub_s >= (SELECT max(pub_s) FROM v_items) - 172800 GROUP BY url)""",
+)
+LAST_WINDOW_CLUSTERS = f"""WITH c AS (SELECT unnest(decided) AS d FROM ({fold('v_last_rows', 'run', _CLUSTER_ROW, _DECIDE_CLUSTER)})),
+    l AS (SELECT ord AS hub, sha256(url) AS h FROM v_items)
+    SELECT d.item_id AS item_id, {_UUID} AS cluster_id, d.role AS role FROM c JOIN l ON d.hub = l.hub"""
+
 # -- first in order wins ------------------------------------------------------------
 
 _DEDUP_ROW = (
