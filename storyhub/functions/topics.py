@@ -11,21 +11,48 @@ from storyhub.functions import lexicon as lx
 from storyhub.functions.text import any_of, col, contains_any, whole_word
 
 
+def shared_prefixes(words, prefix_is_enough: bool) -> str:
+    """Regex for any of the words with common beginnings written once, so a
+    position that starts no word is left after one character. Where a word may
+    match anywhere, it stands for all longer words it begins."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for ch in word:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def render(node) -> str:
+        if "" in node and (prefix_is_enough or len(node) == 1):
+            return ""
+        parts = [re.escape(ch) + render(node[ch]) for ch in node if ch]
+        body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        return body + "?" if "" in node else body
+
+    return render(tree)
+
+
 def keyword_pattern(words, whole=None) -> str:
-    """One alternation for a keyword list.
+    """One regex for a keyword list.
 
     Non-ASCII keywords match anywhere, listed or short ASCII ones as whole
     words, other ASCII ones anywhere. `whole="all"` makes every ASCII keyword a
     whole word, `whole="none"` none.
     """
-    parts = []
+    anywhere, bounded, odd = [], [], []
     for word in dict.fromkeys(w.lower().strip() for w in words):
-        ascii_only = word.isascii()
-        bounded = whole == "all" or (
-            whole is None and (word in lx.WHOLE_WORD_KEYWORDS or len(word) <= 3)
-        )
-        parts.append(whole_word(word) if ascii_only and bounded else re.escape(word))
-    return "|".join(parts)
+        if not word.isascii() or whole == "none" or not (
+            whole == "all" or word in lx.WHOLE_WORD_KEYWORDS or len(word) <= 3
+        ):
+            anywhere.append(word)
+        elif re.fullmatch(r"\w.*\w|\w", word, re.ASCII):
+            bounded.append(word)
+        else:
+            odd.append(whole_word(word))
+    parts = [shared_prefixes(anywhere, True)] if anywhere else []
+    if bounded:
+        parts.append(f"(?<![A-Za-z0-9_]){shared_prefixes(bounded, False)}(?![A-Za-z0-9_])")
+    return "|".join(parts + odd)
 
 
 def matches_keywords(text, words, whole=None) -> Column:
@@ -39,8 +66,11 @@ def topic_of(title, source_name=None, lane=None, topics=None) -> Column:
     topic = F.lit("General")
     if lane is not None:
         topic = F.when(F.coalesce(col(lane) == "discourse", F.lit(False)), "Discourse & Civic").otherwise(topic)
+    plain = topic
     for name in reversed(list(topics)):
         topic = F.when(low.rlike(keyword_pattern(topics[name])), name).otherwise(topic)
+    # Most titles name no topic: one look at all keywords settles them.
+    topic = F.when(low.rlike(keyword_pattern([w for ws in topics.values() for w in ws])), topic).otherwise(plain)
     if source_name is not None:
         checker = contains_any(F.lower(F.coalesce(col(source_name), F.lit(""))), lx.FACT_CHECK_TAG_SOURCES)
         topic = F.when(checker, "Fact-Check").otherwise(topic)

@@ -218,12 +218,13 @@ def topic_sections(page: DataFrame, shown: int = 3, less: int = 2, topics_map=No
         F.when(low.rlike(topics.keyword_pattern(words, whole="none")), F.lit(name))
         for name, words in topics_map.items()
     ]
+    any_word = topics.keyword_pattern([w for words in topics_map.values() for w in words], whole="none")
     lanes = sum(
         ((F.col(c) > 0).cast("int") for c in ("mainstream_count", "grassroots_count", "discourse_count")), F.lit(0)
     )
     rows = page.select(
         "hub_id", "title", "source_count", "last_updated_at", lanes.alias("__lanes"),
-        F.explode(F.array_compact(F.array(*hits, F.lit("*")))).alias("section"),
+        F.explode(F.when(low.rlike(any_word), F.array_compact(F.array(*hits, F.lit("*")))).otherwise(F.array(F.lit("*")))).alias("section"),
     )
     # Read five times below; the page behind it is computed once.
     rows = materialize(rows)
