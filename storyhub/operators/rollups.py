@@ -129,7 +129,7 @@ def source_health(sources: DataFrame, items: DataFrame, attempts: DataFrame | No
     )
 
 
-def pipeline_counts(sources: DataFrame, items: DataFrame, hubs: DataFrame) -> DataFrame:
+def total_counts(sources: DataFrame, items: DataFrame, hubs: DataFrame) -> DataFrame:
     """One row of totals; each side is reduced to one row before they meet."""
     s = sources.agg(F.count("*").alias("sources"))
     i = items.agg(F.count("*").alias("items"))

@@ -299,12 +299,12 @@ def a11(spark, path):
 
 
 @query(
-    "A15_pipeline_counts",
+    "A15_totals",
     """SELECT (SELECT count(*) FROM v_sources) AS sources, (SELECT count(*) FROM v_items) AS items, (SELECT count(*) FROM v_hubs) AS hubs,
       (SELECT count(*) FROM v_hubs WHERE item_count >= 2) AS hubs_with_2, (SELECT count(*) FROM v_hubs WHERE item_count >= 3) AS hubs_with_3""",
 )
 def a15(spark, path):
-    return rollups.pipeline_counts(tb.sources(spark, path), tb.items(spark, path), tb.hubs(spark, path))
+    return rollups.total_counts(tb.sources(spark, path), tb.items(spark, path), tb.hubs(spark, path))
 
 
 @query("A16_sources_per_lane", "SELECT lane, count(*) AS sources FROM v_sources GROUP BY 1")

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call sites of Column operations cost a driver round trip each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

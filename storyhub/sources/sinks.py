@@ -24,7 +24,7 @@ def upsert(current: DataFrame | None, incoming: DataFrame, key: str = "url", ord
 
 def merge_upsert(incoming: DataFrame, table: str, key: str = "url", order: str = "ord") -> None:
     """MERGE into a v2 table; Spark plans and spreads the write."""
-    latest = one_per_key(incoming, key, order, keep="last")
+    latest = one_per_key(incoming, key, order, keep="last").alias("source")
     latest.mergeInto(table, F.expr(f"{table}.{key} = source.{key}")).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 

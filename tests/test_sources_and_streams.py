@@ -2,11 +2,14 @@
 
 import json
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from storyhub.operators import clustering, digest, quota
+from storyhub.operators import clustering, digest, quota, views
 from storyhub.sources import feeds, sinks
 from storyhub.sources import tables as tb
 from storyhub.streaming import stream as st
@@ -172,3 +175,29 @@ def test_rolling_usage_across_slices(spark):
     for i, s, _ in calls:
         n = sum(1 for _, x, _ in calls[max(0, i - 5): i + 1] if s - 60 <= x <= s)
         assert got[i] == (n, 5 * n)
+
+
+def test_entry_runs_from_another_folder(tmp_path):
+    repo = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(repo)!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate(); "
+        "print('rows', e.entry(s).count(), e.queries()['K3_digest_selection'](s, '/root/testdata/sf0.001').count())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "rows " in done.stdout, done.stderr[-2000:]
+
+
+def test_registry_is_complete():
+    import __spark_entry__ as entry
+
+    names, twins = entry.queries(), entry.oracle_sql()
+    assert set(twins) <= set(names)
+    assert set(names) - set(twins) == {"J4_near_pairs_lsh"}
+
+
+def test_nested_items_are_ordered_and_limited(spark):
+    items = tb.story_items(spark, "/root/testdata/sf0.001")
+    for r in views.nest_items(items, 3).collect():
+        ords = [i["ord"] for i in r["items"]]
+        assert ords == sorted(ords) and 1 <= len(ords) <= 3
