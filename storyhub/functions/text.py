@@ -281,6 +281,15 @@ def distinct_lines(lines, min_overlap: float = 0.68, min_words: int = 4, min_len
         ),
         lambda x: x["key"] != "",
     )
+    # A line whose key came before is always dropped, by the same kept line or
+    # by its first occurrence, so only first occurrences enter the fold.
+    keyed = let(
+        keyed,
+        lambda rows: let(
+            F.transform(rows, lambda x: x["key"]),
+            lambda keys: F.filter(rows, lambda x, i: F.array_position(keys, x["key"]) == i + 1),
+        ),
+    )
     keyed = F.transform(
         keyed, lambda x: F.struct(x["line"].alias("line"), x["key"].alias("key"), words(x["key"]).alias("words"))
     )
@@ -290,8 +299,16 @@ def distinct_lines(lines, min_overlap: float = 0.68, min_words: int = 4, min_len
         inside = (F.length(prev["key"]) > min_length) & (
             F.contains(prev["key"], x["key"]) | F.contains(x["key"], prev["key"])
         )
-        near = (F.size(x["words"]) >= min_words) & (
-            F.coalesce(jaccard(x["words"], prev["words"]), F.lit(0.0)) >= min_overlap
+        mine, theirs = F.size(x["words"]), F.size(prev["words"])
+        # The ratio of sizes bounds the overlap, so most pairs stop there.
+        near = (
+            (mine >= min_words)
+            & (theirs > 0)
+            & (F.least(mine, theirs) / F.greatest(mine, theirs, F.lit(1)) >= min_overlap)
+            & let(
+                F.size(F.array_intersect(x["words"], prev["words"])),
+                lambda both: both / (mine + theirs - both) >= min_overlap,
+            )
         )
         return (prev["key"] == x["key"]) | inside | near
 
