@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, packing, quality
+from storyhub.llm import bpe, chat, packing, quality, secrets, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +38,16 @@ def op1(spark, path):
     return quality.quality_verdicts(table(spark, path, "documents"))
 
 
+@query("op3_perspective_rotation", chat.SQL)
+def op3(spark, path):
+    return chat.rotate_perspectives(table(spark, path, "conversations"))
+
+
+@query("op5_secret_scan")
+def op5(spark, path):
+    return secrets.secret_report(table(spark, path, "documents"))
+
+
 @query("op6_curve_packing")
 def op6(spark, path):
     return packing.pack_documents(table(spark, path, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
@@ -46,3 +56,13 @@ def op6(spark, path):
 @query("op9_bpe_round_trip")
 def op9(spark, path):
     return bpe.encode_documents(table(spark, path, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op8_metric_vector_join")
+def op8(spark, path):
+    return vectors.near_duplicate_vectors(table(spark, path, "embeddings"))
+
+
+@query("op10_warc_normaliser")
+def op10(spark, path):
+    return warc.archive_pages(table(spark, path, "pages")).drop("url", "payload")
