@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, chat, packing, quality, secrets, vectors, warc
+from storyhub.llm import bpe, chat, packing, quality, secrets, substrings, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op9(spark, path):
     return bpe.encode_documents(table(spark, path, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query("op7_doubling_dedup")
+def op7(spark, path):
+    return substrings.remove_repeats(table(spark, path, "documents")).drop("kept")
+
+
 @query("op8_metric_vector_join")
 def op8(spark, path):
     return vectors.near_duplicate_vectors(table(spark, path, "embeddings"))
