@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, chat, packing, quality, secrets, substrings, vectors, warc
+from storyhub.llm import bpe, chat, jaccard, packing, quality, secrets, substrings, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op1(spark, path):
     return quality.quality_verdicts(table(spark, path, "documents"))
 
 
+@query("op2_jaccard_join")
+def op2(spark, path):
+    return jaccard.similar_documents(table(spark, path, "documents"))
+
+
 @query("op3_perspective_rotation", chat.SQL)
 def op3(spark, path):
     return chat.rotate_perspectives(table(spark, path, "conversations"))
