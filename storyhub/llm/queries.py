@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, chat, jaccard, packing, quality, secrets, substrings, vectors, warc
+from storyhub.llm import bpe, chat, coder, jaccard, packing, quality, secrets, substrings, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op3(spark, path):
     return chat.rotate_perspectives(table(spark, path, "conversations"))
 
 
+@query("op4_range_coded_ids")
+def op4(spark, path):
+    return coder.token_files(table(spark, path, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
+
+
 @query("op5_secret_scan")
 def op5(spark, path):
     return secrets.secret_report(table(spark, path, "documents"))
