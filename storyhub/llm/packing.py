@@ -57,11 +57,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hilbert key of each document from its token ids."""
     docs = len(at) - 1
-    doc = arrays.text_of(at)
-    mixed = arrays.mix(ids.astype(np.uint64))
-    column = (mixed % np.uint64(HASHED)).astype(np.int64)
+    # Column and sign of every id, looked up by id.
+    mixed = arrays.mix(np.arange(int(ids.max(initial=0)) + 1))
+    column = (mixed & np.uint64(HASHED - 1)).astype(np.int64)
     sign = SIGNS[(mixed >> np.uint64(40)).astype(np.int64) & (len(SIGNS) - 1)]
-    vectors = np.bincount(doc * HASHED + column, sign, docs * HASHED).reshape(docs, HASHED)
+    slots = np.repeat(np.arange(docs) * HASHED, np.diff(at)) + column[ids]
+    vectors = np.bincount(slots, sign[ids], docs * HASHED).reshape(docs, HASHED)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     low = vectors / np.maximum(norms, 1e-12) @ PROJECTION
     # A unit vector projects to about normal values; the logistic curve spreads them over the grid.

@@ -352,6 +352,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFr
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in arrays.slices(batches):
+        others = [n for n in piece.schema.names if n.startswith("own_")]
         data, at = arrays.text_bytes(piece.column("text"))
         starts, ends, word_at = arrays.find_words(data, at)
         raw, rows = data.tobytes(), []
@@ -370,11 +371,25 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = b" ".join(raw[s:e] for s, e in zip(starts[lo:hi][keep].tolist(), ends[lo:hi][keep].tolist(), strict=True))
             rows.append((doc_id, int(hi - lo), int((~keep).sum()), hashlib.sha256(text).hexdigest(), text.decode()))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+            columns + [piece.column(n) for n in others], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *others]
         )
 
 
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+
+
+def _removed(docs: DataFrame, window: int, levels: int, own: list[str]) -> DataFrame:
+    """RESULT and the columns `own` of docs, renamed to own_0, own_1, ..."""
+    passed = [F.col(c).alias(f"own_{k}") for k, c in enumerate(own)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *passed)
+    spans = repeated_spans(docs.filter("doc_id is not null"), window, levels)
+    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left").drop("text_hash")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name.startswith("own_")]
+    return joined.mapInArrow(_cutter, ", ".join([RESULT, *fields]))
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by one
     space, per document.
@@ -384,8 +399,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFr
     each other. Rows without doc_id are kept whole and remove nothing. Windows
     are judged on the input. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs.filter("doc_id is not null"), window, levels)
-    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left")
-    joined = joined.select("doc_id", "text", "copy", "spans")
-    return joined.mapInArrow(_cutter, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return _removed(docs, window, levels, [])
+
+
+def strip_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFrame:
+    """The documents without their repeated words. A text that loses none stays
+    as it is, any other is its kept words joined by one space; n_chars follows.
+    All rows and columns stay."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = _removed(docs.withColumn("whole", F.col("text")), window, levels, [*others, "whole"])
+    whole = F.col(f"own_{len(others)}")
+    out = found.select(
+        "doc_id",
+        F.when(F.col("n_removed") == 0, whole).otherwise(F.col("kept")).alias("text"),
+        *[F.col(f"own_{k}").alias(c) for k, c in enumerate(others)],
+    )
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)

@@ -16,7 +16,8 @@ from array import array
 import numpy as np
 
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
+JOINED_WORDS = 512
 
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 # How the two vocabularies cut a text, for plain Latin letters.
@@ -51,6 +52,27 @@ class CachedTokenizer:
         self.lower = spec["normalizer"] is not None
         self.pieces = re.compile(WORD_PIECES if self.lower else BYTE_PIECES).findall
         self.cache: dict[str, bytes] = {}
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pieces. Where a word's last token says so, many pieces
+        are encoded as one text and told apart afterwards."""
+        if self.ends is None:
+            return self._whole(words)
+        groups = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._whole([" ".join(g) for g in groups]), strict=True):
+            last = np.flatnonzero(self.ends[np.frombuffer(ids, self.kind)]) + 1
+            if len(last) != len(group):
+                out += self._whole(group)
+                continue
+            cuts = [0, *(last * self.kind.itemsize).tolist()]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -75,7 +97,7 @@ class CachedTokenizer:
             cut.append((k, words))
         fresh = list(new - known)
         if fresh:
-            self.cache.update(zip(fresh, self._whole(fresh), strict=True))
+            self.cache.update(zip(fresh, self._words(fresh), strict=True))
         get = self.cache.__getitem__
         for k, words in cut:
             out[k] = b"".join(map(get, words))
