@@ -338,7 +338,7 @@ def content_hash(version, job, system, user) -> Column:
     )
 
 
-def sentence_chunks(text, limit: int = 420, max_chunks: int | None = 4) -> Column:
+def sentence_chunks(text, limit: int = 420, max_chunks: int | None = None) -> Column:
     """Chunks of whole sentences of at most `limit` estimated tokens, one
     sentence carried over between neighbours."""
     state = "struct<done:array<string>,cur:array<string>,tokens:bigint>"

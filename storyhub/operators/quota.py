@@ -133,21 +133,25 @@ def admission(requests: DataFrame, usage: DataFrame, limits: DataFrame, as_of) -
     slice_cap = F.greatest(F.lit(5), F.ceil(rpd_cap * part))
     metered = F.coalesce(F.col("day_units") > 0, F.lit(False))
     background = F.col("priority") == "background"
+    cooling = F.concat(
+        F.lit("circuit_breaker_cooling_until_"), F.date_format("cooling_until", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    )
+    # The reasons, in the order of the checks.
     checks = [
         ("unknown_model", F.col("provider").isNull()),
         ("missing_credentials", ~F.col("configured")),
         ("sensitive_content_disallowed_by_terms", F.col("sensitive") & ~F.col("sensitive_ok")),
-        ("circuit_breaker_cooling", F.coalesce(F.col("cooling_until") > now, F.lit(False))),
+        (cooling, F.coalesce(F.col("cooling_until") > now, F.lit(False))),
         ("exceeds_context_window", need > F.col("context")),
         ("exceeds_rpm", used("minute_requests") + 1 > F.col("rpm")),
         ("exceeds_tpm", used("minute_tokens") + need > F.col("tpm")),
         ("exceeds_rpd", used("requests_used") + 1 > F.col("rpd")),
         ("exceeds_tpd", used("tokens_used") + need > F.col("tpd")),
-        ("exceeds_daily_units", metered & (used("units_used") + UNITS_PER_REQUEST > F.col("day_units"))),
-        ("reserved_requests", background & (used("requests_used") + 1 > rpd_cap)),
-        ("reserved_tokens", background & (used("tokens_used") + need > tpd_cap)),
-        ("reserved_units", background & metered & (used("units_used") + UNITS_PER_REQUEST > units_cap)),
-        ("exceeds_time_slice", background & (used("requests_used") + 1 > slice_cap)),
+        ("exceeds_daily_neurons", metered & (used("units_used") + UNITS_PER_REQUEST > F.col("day_units"))),
+        ("reserved_for_interactive_emergency_buffer_rpd", background & (used("requests_used") + 1 > rpd_cap)),
+        ("reserved_for_interactive_emergency_buffer_tpd", background & (used("tokens_used") + need > tpd_cap)),
+        ("reserved_for_interactive_emergency_buffer_neurons", background & metered & (used("units_used") + UNITS_PER_REQUEST > units_cap)),
+        ("exceeds_time_slice_budget_for_background_job", background & (used("requests_used") + 1 > slice_cap)),
     ]
     reason = F.lit(None).cast("string")
     for name, failed in reversed(checks):

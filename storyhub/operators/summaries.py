@@ -123,7 +123,7 @@ def summary_plan(
         .withColumn("tokens", tokens)
         .withColumn("job", F.when(tokens > 2000, "long_input").otherwise("short_medium"))
         .withColumn("content_hash", text.content_hash(F.lit(version), "job", F.lit(system), "prompt"))
-        .withColumn("chunks", F.when(F.col("tokens") > chunk_above, text.sentence_chunks("prompt")))
+        .withColumn("chunks", F.when(F.col("tokens") > chunk_above, text.sentence_chunks("prompt", max_chunks=4)))
     )
     found = cache_lookup(plan, cache, as_of)
     status = (

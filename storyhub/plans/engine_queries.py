@@ -188,11 +188,6 @@ def j4items(spark, path):
     )
 
 
-@query("J4_near_pairs_lsh")
-def j4lsh(spark, path):
-    return similarity.near_pairs(tb.vectors(spark, path), 0.45, key="item_id")
-
-
 @query(
     "X4_centroids",
     """SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM v_vectors) GROUP BY 1, 2""",
@@ -326,15 +321,14 @@ def k3(spark, path):
 
 @query(
     "J13_shared_urls",
-    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, item_id % 50 AS url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
+    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, i.url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
       WHERE coalesce(primary_rank, fallback_rank) IS NOT NULL AND i.pub_s >= as_of - 129600)
     SELECT strftime(to_timestamp(a.as_of) AT TIME ZONE 'UTC', '%Y-%m-%d') AS edition, a.hub_id, string_agg(DISTINCT b.hub_id, ',' ORDER BY b.hub_id) AS overlaps
     FROM u a JOIN u b ON a.as_of = b.as_of AND a.url = b.url AND a.hub_id <> b.hub_id GROUP BY a.as_of, a.hub_id""",
 )
 def j13(spark, path):
     c = digest.edition_candidates(tb.hubs(spark, path))
-    i = joined(spark, path).withColumn("url", (F.col("item_id") % 50).cast("string"))
-    out = digest.shared_urls(c, i)
+    out = digest.shared_urls(c, joined(spark, path))
     return out.select(F.col("edition").cast("string").alias("edition"), "hub_id", F.array_join("overlaps", ",").alias("overlaps"))
 
 
@@ -486,11 +480,11 @@ def _admission_sql():
       (CASE WHEN reset_hour = 7 THEN 1705388400 ELSE 1705363200 END - 1705341600) AS left_s FROM r JOIN v_limits l USING (model) LEFT JOIN u USING (model)),
     s AS (SELECT *, greatest(5, ceil(rc * least(1, greatest(0.15, (86400 - left_s) / 86400.0 + 0.25)))) AS cap FROM j)
     SELECT event_id, CASE WHEN NOT configured THEN 'missing_credentials' WHEN sens AND NOT sensitive_ok THEN 'sensitive_content_disallowed_by_terms'
-      WHEN model = 'signup' THEN 'circuit_breaker_cooling' WHEN {need} > context THEN 'exceeds_context_window' WHEN 2 > rpm THEN 'exceeds_rpm'
+      WHEN model = 'signup' THEN 'circuit_breaker_cooling_until_2024-01-15T19:00:00.000Z' WHEN {need} > context THEN 'exceeds_context_window' WHEN 2 > rpm THEN 'exceeds_rpm'
       WHEN 150 + {need} > tpm THEN 'exceeds_tpm' WHEN ru + 1 > rpd THEN 'exceeds_rpd' WHEN tu + {need} > tpd THEN 'exceeds_tpd'
-      WHEN day_units > 0 AND uu + 2.5 > day_units THEN 'exceeds_daily_units' WHEN pri = 'background' AND ru + 1 > rc THEN 'reserved_requests'
-      WHEN pri = 'background' AND tu + {need} > tc THEN 'reserved_tokens' WHEN pri = 'background' AND day_units > 0 AND uu + 2.5 > uc THEN 'reserved_units'
-      WHEN pri = 'background' AND ru + 1 > cap THEN 'exceeds_time_slice' END AS reason FROM s"""
+      WHEN day_units > 0 AND uu + 2.5 > day_units THEN 'exceeds_daily_neurons' WHEN pri = 'background' AND ru + 1 > rc THEN 'reserved_for_interactive_emergency_buffer_rpd'
+      WHEN pri = 'background' AND tu + {need} > tc THEN 'reserved_for_interactive_emergency_buffer_tpd' WHEN pri = 'background' AND day_units > 0 AND uu + 2.5 > uc THEN 'reserved_for_interactive_emergency_buffer_neurons'
+      WHEN pri = 'background' AND ru + 1 > cap THEN 'exceeds_time_slice_budget_for_background_job' END AS reason FROM s"""
 
 
 @query("F39_admission", _admission_sql())

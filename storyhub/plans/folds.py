@@ -157,7 +157,7 @@ CHUNKS = f"""WITH f AS (SELECT doc_id, list_reduce(list_transform({_SPLIT}, lamb
           'tokens': {t.tokens("array_to_string(" + _CARRY + ", ' ')")}}}::{_CHUNK}]
         ELSE [{{'done': acc[1].done, 'cur': list_append(acc[1].cur, x[1].cur[1]), 'tokens': acc[1].tokens + x[1].tokens}}::{_CHUNK}] END,
       [{{'done': [], 'cur': [], 'tokens': 0}}::{_CHUNK}])[1] AS s FROM documents),
-    c AS (SELECT doc_id, unnest(list_append(s.done, array_to_string(s.cur, ' '))[1:4]) AS chunk FROM f WHERE len(s.cur) > 0)
+    c AS (SELECT doc_id, unnest(list_append(s.done, array_to_string(s.cur, ' '))) AS chunk FROM f WHERE len(s.cur) > 0)
     SELECT doc_id, chunk, {t.tokens('chunk')} AS tokens FROM c"""
 
 # -- digest ---------------------------------------------------------------------------

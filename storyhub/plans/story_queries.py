@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyhub.functions import lexicon as lx
-from storyhub.functions import times
+from storyhub.functions import times, topics
 from storyhub.operators import ranking, rollups, views
 from storyhub.plans import twins as t
 from storyhub.plans.catalog import query, view
@@ -153,14 +153,15 @@ def j10(spark, path):
 
 @query(
     "J11_keyword_join",
-    "SELECT item_id, kw FROM v_items, (VALUES ('the'), ('and'), ('eau'), ('sch')) k(kw) WHERE contains(lower(title), kw)",
+    r"""SELECT item_id, kw FROM v_items, (VALUES ('the', '\bthe\b'), ('and', '\band\b'), ('est', '\best\b'), ('tion', 'tion'), ('é', 'é')) k(kw, pattern)
+    WHERE regexp_matches(lower(title), pattern)""",
 )
 def j11(spark, path):
     # A user-supplied keyword table, small by nature, becomes one array literal
-    # per row pass: no join at all.
-    words = F.array(*[F.lit(w) for w in ("the", "and", "eau", "sch")])
-    i = tb.items(spark, path).select("item_id", F.lower("title").alias("t"))
-    return i.select("item_id", F.explode(F.filter(words, lambda w: F.contains(F.col("t"), w))).alias("kw"))
+    # per row pass: no join at all. Each keyword follows the keyword rule.
+    words = ("the", "and", "est", "tion", "é")
+    hits = F.array_compact(F.array(*[F.when(topics.matches_keywords("title", [w]), F.lit(w)) for w in words]))
+    return tb.items(spark, path).select("item_id", F.explode(hits).alias("kw"))
 
 
 @query(

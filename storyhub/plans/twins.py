@@ -150,10 +150,10 @@ view(
 view(
     "v_items",
     f"""SELECT doc_id AS item_id, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS source_id,
-      substr(split_part(text, chr(10), 1), 1, 80) AS title,
+      split_part(text, chr(10), 1) AS title,
       'https://' || source || '.example.com/' || md5(text) AS url,
       {EPOCH} + ((doc_id * 97) % {SPAN_MINUTES}) * 60 AS pub_s,
-      substr(text, 1, 300) AS raw_summary,
+      text AS raw_summary,
       CASE WHEN doc_id % 3 = 0 THEN 'https://img.example.com/' || doc_id || '.jpg' END AS og_image,
       lang AS language,
       {EPOCH} + ((doc_id * 97) % {SPAN_MINUTES}) * 60 + 300 AS fetch_s,

@@ -69,19 +69,6 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df, most: int = 8):
-    """More tasks for per-row work over a scan with few splits.
-
-    A small table is one row group and so one busy task. Scans that already
-    have a split per core are left alone, so large inputs are never shuffled;
-    small ones get at most `most` tasks per split.
-    """
-    if df.isStreaming:
-        return df
-    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    return df if splits >= cores else df.repartition(min(cores, splits * most))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, for stream state and output."""
     import uuid

@@ -203,7 +203,7 @@ def video_search_rows(pages: DataFrame, html: str = "payload") -> DataFrame:
         F.nullif(F.array_join(F.transform(F.col(f"{v}.title.runs"), lambda r: r["text"]), ""), F.lit("")), label("title")
     )
     out = rows.select(
-        *keep, (F.col("__s") * 1000 + F.col("__p")).alias("feed_pos"), F.col(f"{v}.videoId").alias("video_id"),
+        *keep, F.struct("__s", "__p").alias("feed_pos"), F.col(f"{v}.videoId").alias("video_id"),
         strip(title).alias("title"),
         F.coalesce(F.get(F.col(f"{v}.ownerText.runs"), F.lit(0))["text"], F.get(F.col(f"{v}.longBylineText.runs"), F.lit(0))["text"]).alias("channel"),
         F.coalesce(label("viewCountText"), label("shortViewCountText")).alias("views"),

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyhub.functions.text import normalize_title
-from storyhub.session import spread
 
 # Facts of the test tables: first publication minute and the span in minutes.
 EPOCH = 1704067200
@@ -21,17 +20,8 @@ AS_OF = "2024-01-31 00:00:00"
 AS_OF_SECONDS = EPOCH + SPAN_MINUTES * 60
 
 
-# Tables whose rows cost much work each; a small copy of one is a single split.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
-def scan(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
-
-
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = scan(spark, path, name)
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{path}/{name}.parquet")
 
 
 def _pick(key: Column, values) -> Column:
@@ -48,7 +38,7 @@ def source_key(source) -> Column:
 def sources(spark: SparkSession, path: str) -> DataFrame:
     sid = F.col("source_id")
     return (
-        scan(spark, path, "documents")
+        table(spark, path, "documents")
         .groupBy("source")
         .agg(F.lit(True).alias("is_active"))
         .withColumn("source_id", source_key("source"))
@@ -72,13 +62,13 @@ def sources(spark: SparkSession, path: str) -> DataFrame:
 def items(spark: SparkSession, path: str) -> DataFrame:
     minute = F.col("doc_id") * 97 % SPAN_MINUTES
     published = F.timestamp_seconds(F.lit(EPOCH) + minute * 60)
-    rows = scan(spark, path, "documents").select(
+    return table(spark, path, "documents").select(
         F.col("doc_id").alias("item_id"),
         source_key("source").alias("source_id"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.md5(F.col("text").cast("binary"))).alias("url"),
         published.alias("published_at"),
-        F.substring("text", 1, 300).alias("raw_summary"),
+        F.col("text").alias("raw_summary"),
         F.when(
             F.col("doc_id") % 3 == 0,
             F.concat(F.lit("https://img.example.com/"), F.col("doc_id").cast("string"), F.lit(".jpg")),
@@ -87,7 +77,6 @@ def items(spark: SparkSession, path: str) -> DataFrame:
         (published + F.expr("INTERVAL 5 MINUTE")).alias("fetched_at"),
         ((F.lit(SPAN_MINUTES) - minute) * F.lit(10**13) + F.col("doc_id")).alias("ord"),
     )
-    return spread(rows)
 
 
 def story_items(spark: SparkSession, path: str) -> DataFrame:
