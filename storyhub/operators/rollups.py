@@ -53,6 +53,7 @@ def hub_cards(items: DataFrame, as_of, hub="cluster_id", order="ord") -> DataFra
     name = F.coalesce("source_name", F.lit("Unknown"))
     language = F.coalesce("language", F.lit("en"))
     has_image = F.col("og_image").isNotNull()
+    gloss = F.nullif(F.col("english_gloss"), F.lit("")) if "english_gloss" in items.columns else None
     regional = F.col("region").isNotNull() & (F.col("region") != "national")
     when = times.effective_time("published_at", "fetched_at", as_of)
 
@@ -71,6 +72,7 @@ def hub_cards(items: DataFrame, as_of, hub="cluster_id", order="ord") -> DataFra
         F.coalesce(first(name, has_image), first(name)).alias("first_source_name"),
         F.coalesce(first(F.col("region"), regional), first(F.col("region"))).alias("source_region"),
         F.coalesce(first(language, has_image), first(language)).alias("language"),
+        *([first(gloss, gloss.isNotNull()).alias("english_gloss")] if "english_gloss" in items.columns else []),
         F.bool_or(F.coalesce(F.contains("url", F.lit("news.google.com")), F.lit(False))).alias("via_google_news"),
     )
     unlaned = (F.col("mainstream_count") + F.col("grassroots_count") + F.col("discourse_count")) == 0
@@ -167,9 +169,8 @@ def hub_text_rows(hubs: DataFrame, items: DataFrame, hub="cluster_id") -> DataFr
     """Document of a hub as ordered rows: its title, then one row per item.
     Kept flat so that a hub of any size spreads over tasks."""
     head = hubs.select("hub_id", F.lit(0).cast("bigint").alias("ord"), F.col("title").alias("body"))
-    body = items.select(
-        F.col(hub).alias("hub_id"), "ord", F.concat_ws(" ", "title", "raw_summary").alias("body")
-    )
+    parts = [c for c in ("title", "english_gloss", "raw_summary", "og_description") if c in items.columns]
+    body = items.select(F.col(hub).alias("hub_id"), "ord", F.concat_ws(" ", *parts).alias("body"))
     return head.unionByName(body)
 
 

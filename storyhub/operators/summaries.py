@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyhub.functions import text, times, topics
@@ -80,6 +80,13 @@ SYSTEM_PROMPT = (
 )
 
 
+def told(items: DataFrame, with_page: bool = False) -> Column:
+    """What an item says: title, gloss and summary; the protest check reads the
+    page's description as well."""
+    names = ["title", "english_gloss", "raw_summary", *(["og_description"] if with_page else [])]
+    return F.concat_ws(" ", *[c for c in names if c in items.columns])
+
+
 def summary_plan(
     hubs: DataFrame,
     items: DataFrame,
@@ -97,13 +104,12 @@ def summary_plan(
     """
     recent = hubs.filter(F.col("last_updated_at") >= times.hours_before(as_of, hours))
     mine = items.filter(F.col("published_at") >= times.hours_before(as_of, hours)).withColumnRenamed("cluster_id", "hub_id")
-    told = F.concat_ws(" ", "title", "raw_summary")
-    described = F.col("raw_summary").isNotNull() & (F.col("raw_summary") != "")
+    snippet = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("raw_summary", "og_description") if c in items.columns])
     facts = mine.groupBy("hub_id").agg(
         F.count("*").alias("items"),
-        F.bool_or(topics.is_sensitive(told)).alias("sensitive"),
-        F.bool_or(topics.is_protest(told)).alias("protest"),
-        F.min_by("raw_summary", F.when(described, F.col("ord"))).alias("snippet"),
+        F.bool_or(topics.is_sensitive(told(mine))).alias("sensitive"),
+        F.bool_or(topics.is_protest(told(mine, with_page=True))).alias("protest"),
+        F.min_by(snippet, F.when(snippet.isNotNull(), F.col("ord"))).alias("snippet"),
     )
     chosen = lane_balanced(mine, hub="hub_id")
     lines = chosen.select("hub_id", "position", text.report_line("title", "raw_summary").alias("line"))

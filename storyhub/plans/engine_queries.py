@@ -234,6 +234,18 @@ def k1b(spark, path):
     return seconds(clustering.hubs_of(clustered(spark, path), AS_OF, scope="run"), "first_seen_at", "last_updated_at")
 
 
+@query(
+    "K1_merged_duplicates",
+    f"""WITH c AS ({folds.EVENT_CLUSTERS}), x AS (SELECT c.*, i.ord, i.og_image, i.raw_summary FROM c JOIN v_items i USING (item_id)),
+    lent AS (SELECT run, merged_into AS ord, arg_min(og_image, ord) FILTER (og_image IS NOT NULL) AS img,
+      first(raw_summary ORDER BY length(raw_summary) DESC, ord) AS said FROM x WHERE role = 'duplicate' GROUP BY 1, 2)
+    SELECT item_id, run, coalesce(og_image, img) AS og_image, CASE WHEN length(said) > coalesce(length(raw_summary), 0) THEN said ELSE raw_summary END AS raw_summary
+    FROM x LEFT JOIN lent USING (run, ord) WHERE role <> 'duplicate'""",
+)
+def k1m(spark, path):
+    return clustering.merge_duplicates(clustered(spark, path)).select("item_id", "run", "og_image", "raw_summary")
+
+
 @query("K1_vector_clusters", folds.VECTOR_CLUSTERS)
 def k1c(spark, path):
     v = tb.vectors(spark, path)
@@ -321,14 +333,16 @@ def k3(spark, path):
 
 @query(
     "J13_shared_urls",
-    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, i.url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
+    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, regexp_extract(i.url, '^https://[^/]+') AS url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
       WHERE coalesce(primary_rank, fallback_rank) IS NOT NULL AND i.pub_s >= as_of - 129600)
     SELECT strftime(to_timestamp(a.as_of) AT TIME ZONE 'UTC', '%Y-%m-%d') AS edition, a.hub_id, string_agg(DISTINCT b.hub_id, ',' ORDER BY b.hub_id) AS overlaps
     FROM u a JOIN u b ON a.as_of = b.as_of AND a.url = b.url AND a.hub_id <> b.hub_id GROUP BY a.as_of, a.hub_id""",
 )
 def j13(spark, path):
     c = digest.edition_candidates(tb.hubs(spark, path))
-    out = digest.shared_urls(c, joined(spark, path))
+    # Landed items never share a whole url across titles; their sites do.
+    site = F.regexp_extract("url", "^https://[^/]+", 0)
+    out = digest.shared_urls(c, joined(spark, path).withColumn("url", site))
     return out.select(F.col("edition").cast("string").alias("edition"), "hub_id", F.array_join("overlaps", ",").alias("overlaps"))
 
 
@@ -384,10 +398,10 @@ def _prompts_sql():
 
 @query(
     "K6_summary_plan",
-    f"""WITH i AS (SELECT *, title || ' ' || raw_summary AS told FROM v_joined),
+    f"""WITH i AS (SELECT *, concat_ws(' ', title, english_gloss, raw_summary) AS told, concat_ws(' ', title, english_gloss, raw_summary, og_description) AS told_page FROM v_joined),
     f AS (SELECT cluster_id AS hub_id, count(*) AS n, bool_or(regexp_matches(lower(told), {t.q('|'.join(summaries.topics.lx.SENSITIVE_PHRASES))})) AS sens,
-      bool_or({t.keyword_match('told', summaries.topics.lx.PROTESTS_WORDS, 'all')}) AS protest,
-      {t.summary("arg_min(raw_summary, ord) FILTER (raw_summary <> '')")} AS s FROM i GROUP BY 1),
+      bool_or({t.keyword_match('told_page', summaries.topics.lx.PROTESTS_WORDS, 'all')}) AS protest,
+      {t.summary("arg_min(coalesce(nullif(raw_summary, ''), og_description), ord) FILTER (coalesce(nullif(raw_summary, ''), og_description, '') <> '')")} AS s FROM i GROUP BY 1),
     h AS (SELECT h.hub_id, {t.headline('h.title')} AS head, f.* EXCLUDE (hub_id), {t.sentence("coalesce(f.s, '')")} AS lead FROM v_hubs h LEFT JOIN f USING (hub_id))
     SELECT hub_id, protest AS is_protest, CASE WHEN sens THEN 'flagged' WHEN n = 1 AND coalesce(length(s), 0) < 40 THEN 'trivial_bypass' ELSE 'to_generate' END AS status,
       CASE WHEN sens THEN head WHEN length(substr(lead, 1, 180)) > 25 AND lower(substr(lead, 1, 180)) <> lower(head) THEN substr(lead, 1, 180) ELSE head END AS fallback FROM h""",

@@ -84,6 +84,18 @@ def j2(spark, path):
     return out.withColumnRenamed("title", "hub_title")
 
 
+@query(
+    "J2_nested_items",
+    """SELECT cluster_id AS hub_id, string_agg(item_id, ',' ORDER BY ord) AS items FROM
+    (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS n FROM v_story) WHERE n <= 3 GROUP BY 1""",
+)
+def j2n(spark, path):
+    out = views.nest_items(tb.story_items(spark, path), 3)
+    key = "hub_id" if "hub_id" in out.columns else "cluster_id"
+    ids = F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",")
+    return out.select(F.col(key).alias("hub_id"), ids.alias("items"))
+
+
 @query(
     "J6_orphan_hubs",
     f"""SELECT hub_id FROM v_hubs WHERE last_s >= {NOW} - 604800 AND hub_id NOT IN
@@ -237,10 +249,14 @@ def a5(spark, path):
     return rollups.publishers(i).withColumnRenamed("cluster_id", "hub_id")
 
 
-@query("A7_first_picks", "SELECT hub_id, og_image, first_source_name, source_region, language FROM v_cards")
+@query(
+    "A7_first_picks",
+    """SELECT c.hub_id, og_image, first_source_name, source_region, language, english_gloss FROM v_cards c JOIN
+    (SELECT cluster_id AS hub_id, arg_min(english_gloss, ord) FILTER (english_gloss <> '') AS english_gloss FROM v_story GROUP BY 1) USING (hub_id)""",
+)
 def a7(spark, path):
     c = rollups.hub_cards(joined(spark, path), AS_OF).withColumnRenamed("cluster_id", "hub_id")
-    return c.select("hub_id", "og_image", "first_source_name", "source_region", "language")
+    return c.select("hub_id", "og_image", "first_source_name", "source_region", "language", "english_gloss")
 
 
 @query("A8_languages", "SELECT hub_id, languages FROM v_langs")
@@ -338,7 +354,7 @@ def a18(spark, path):
 
 @query(
     "A19_hub_text",
-    "SELECT hub_id, 0::BIGINT AS ord, title AS body FROM v_hubs UNION ALL SELECT cluster_id, ord, title || ' ' || raw_summary FROM v_story",
+    "SELECT hub_id, 0::BIGINT AS ord, title AS body FROM v_hubs UNION ALL SELECT cluster_id, ord, concat_ws(' ', title, english_gloss, raw_summary, og_description) FROM v_story",
 )
 def a19(spark, path):
     return rollups.hub_text_rows(tb.hubs(spark, path), tb.story_items(spark, path))
@@ -566,14 +582,10 @@ def _query_sql(q):
 )
 def p5(spark, path):
     p = page(spark, path)
-    parts = [
-        views.filter_front_page(p, q=q).select(F.lit(q).alias("q"), "hub_id")
-        for q in ("sports", "fact check", "mumbai kerala", "the")
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    asked = ("sports", "fact check", "mumbai kerala", "the")
+    # The page is built once; each hub lists the queries it answers.
+    hits = F.array_compact(F.array(*[F.when(views.matches_query(q), F.lit(q)) for q in asked]))
+    return p.select(F.explode(hits).alias("q"), "hub_id")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyhub.functions import lexicon as lx
 from storyhub.functions import media, text, times, topics
+from storyhub.operators import summaries
 from storyhub.plans import folds
 from storyhub.plans import twins as t
 from storyhub.plans.catalog import query, view
@@ -197,21 +198,39 @@ def f16(spark, path):
     return tb.items(spark, path).select("item_id", text.clean_generated(reply).alias("cleaned"))
 
 
+_TRANSLATED = ["Translation: ", "ENGLISH:  headline: ", "<think>which one? </think>", "translation:english: ", "<think>open "]
+
+
+@query(
+    "F16_clean_translation",
+    f"""WITH n AS (SELECT item_id, coalesce({t.pick('item_id % 6', _TRANSLATED)}, '') || title AS a FROM v_items),
+    r AS (SELECT item_id, {t.rx(t.quotes(t.strip(t.rx(t.rx('a', '<think>.*?</think>', '', 'gis'), '<think>.*$', '', 'gis'))), '^translation:\\s*', '', 'i')} AS b FROM n)
+    SELECT item_id, {t.strip(t.rx(t.rx('b', '^english:\\s*', '', 'i'), '^headline:\\s*', '', 'i'))} AS cleaned FROM r""",
+)
+def f16t(spark, path):
+    reply = F.concat(F.coalesce(tb._pick(F.col("item_id") % 6, _TRANSLATED), F.lit("")), "title")
+    return tb.items(spark, path).select("item_id", text.clean_translation(reply).alias("cleaned"))
+
+
 _TOLD = ["", "Mob violence in town. ", "Dharna at the gate. ", "Bandhan Bank. ", "मोर्चा निकला. "]
 
 
 @query(
     "F17_sensitive_and_protest",
     f"""WITH n AS (SELECT cluster_id AS hub_id, bool_or(regexp_matches(lower(a), {t.q('|'.join(lx.SENSITIVE_PHRASES))})) AS sensitive,
-      bool_or({t.keyword_match('a', lx.PROTESTS_WORDS, 'all')}) AS protest
-      FROM (SELECT cluster_id, {t.pick('item_id % 5', _TOLD)} || title || ' ' || raw_summary AS a FROM v_story) GROUP BY 1)
+      bool_or({t.keyword_match('b', lx.PROTESTS_WORDS, 'all')}) AS protest
+      FROM (SELECT cluster_id, concat_ws(' ', {t.pick('item_id % 5', _TOLD)} || title, english_gloss, raw_summary) AS a,
+        concat_ws(' ', {t.pick('item_id % 5', _TOLD)} || title, english_gloss, raw_summary, og_description) AS b FROM v_story) GROUP BY 1)
     SELECT * FROM n""",
 )
 def f17(spark, path):
-    told = F.concat(tb._pick(F.col("item_id") % 5, _TOLD), "title", F.lit(" "), "raw_summary")
+    items = tb.story_items(spark, path).withColumn("title", F.concat(tb._pick(F.col("item_id") % 5, _TOLD), "title"))
     return (
-        tb.story_items(spark, path)
-        .select(F.col("cluster_id").alias("hub_id"), topics.is_sensitive(told).alias("s"), topics.is_protest(told).alias("p"))
+        items.select(
+            F.col("cluster_id").alias("hub_id"),
+            topics.is_sensitive(summaries.told(items)).alias("s"),
+            topics.is_protest(summaries.told(items, with_page=True)).alias("p"),
+        )
         .groupBy("hub_id")
         .agg(F.bool_or("s").alias("sensitive"), F.bool_or("p").alias("protest"))
     )

@@ -155,6 +155,8 @@ view(
       {EPOCH} + ((doc_id * 97) % {SPAN_MINUTES}) * 60 AS pub_s,
       text AS raw_summary,
       CASE WHEN doc_id % 3 = 0 THEN 'https://img.example.com/' || doc_id || '.jpg' END AS og_image,
+      CASE WHEN doc_id % 9 = 0 THEN 'Dharna near ' || source || ', ' || doc_id END AS og_description,
+      CASE WHEN lang <> 'en' AND doc_id % 4 = 1 THEN 'Gloss: ' || split_part(text, chr(10), 1) END AS english_gloss,
       lang AS language,
       {EPOCH} + ((doc_id * 97) % {SPAN_MINUTES}) * 60 + 300 AS fetch_s,
       ({SPAN_MINUTES} - (doc_id * 97) % {SPAN_MINUTES}) * 10000000000000 + doc_id AS ord

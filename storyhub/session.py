@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Sessions of a key are merged before the shuffle, so a hot key sends few rows.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Call sites of Column operations cost a driver round trip each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -37,7 +39,8 @@ def local_session(cores: int | str = 8, app: str = "storyhub") -> SparkSession:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the queries rely on; safe to call on any running session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"):
+        spark.conf.set(key, DEFAULTS[key])
     ensure_checkpoint_dir(spark)
     return spark
 

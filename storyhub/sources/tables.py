@@ -73,6 +73,12 @@ def items(spark: SparkSession, path: str) -> DataFrame:
             F.col("doc_id") % 3 == 0,
             F.concat(F.lit("https://img.example.com/"), F.col("doc_id").cast("string"), F.lit(".jpg")),
         ).alias("og_image"),
+        F.when(
+            F.col("doc_id") % 9 == 0, F.concat(F.lit("Dharna near "), "source", F.lit(", "), F.col("doc_id").cast("string"))
+        ).alias("og_description"),
+        F.when((F.col("lang") != "en") & (F.col("doc_id") % 4 == 1), F.concat(F.lit("Gloss: "), F.substring_index("text", "\n", 1))).alias(
+            "english_gloss"
+        ),
         F.col("lang").alias("language"),
         (published + F.expr("INTERVAL 5 MINUTE")).alias("fetched_at"),
         ((F.lit(SPAN_MINUTES) - minute) * F.lit(10**13) + F.col("doc_id")).alias("ord"),
