@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from storyhub.llm import arrays
 from storyhub.session import materialize
 
-BUCKET_NAMES = 4_000_000
+BUCKET_NAMES = 2_500_000
 """Window names a bucket should hold; sets the number of buckets."""
 LOW48 = np.uint64((1 << 48) - 1)
 
