@@ -82,7 +82,8 @@ def region_of(title, source_region=None) -> Column:
     low = F.lower(F.coalesce(col(title), F.lit("")))
     region = F.lit(lx.DEFAULT_REGION)
     for name, fragments in reversed(lx.REGION_TITLE_RULES):
-        pattern = "|".join(whole_word(f[1:]) if f.startswith("=") else re.escape(f) for f in fragments)
+        whole = [whole_word(w) for w in lx.REGION_WHOLE_WORDS.get(name, [])]
+        pattern = "|".join([*whole, *map(re.escape, fragments)])
         region = F.when(low.rlike(pattern), name).otherwise(region)
     if source_region is not None:
         named = F.lit(None).cast("string")

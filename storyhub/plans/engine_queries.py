@@ -220,8 +220,8 @@ def run_window(df):
     return df.withColumn("run", F.floor(F.unix_seconds("published_at") / 172800).cast("string"))
 
 
-def clustered(spark, path):
-    return clustering.cluster_items(run_window(joined(spark, path).drop("cluster_id")), scope="run")
+def clustered(spark, path, method="grouped"):
+    return clustering.cluster_items(run_window(joined(spark, path).drop("cluster_id")), scope="run", method=method)
 
 
 @query("K1_event_clusters", folds.EVENT_CLUSTERS)
@@ -229,6 +229,11 @@ def k1(spark, path):
     return clustered(spark, path).select("item_id", "run", "cluster_id", "role", "merged_into")
 
 
+@query("K1_event_clusters_by_component", folds.EVENT_CLUSTERS)
+def k1comp(spark, path):
+    return clustered(spark, path, "components").select("item_id", "run", "cluster_id", "role", "merged_into")
+
+
 @query("K1_event_hubs", folds.EVENT_HUBS)
 def k1b(spark, path):
     return seconds(clustering.hubs_of(clustered(spark, path), AS_OF, scope="run"), "first_seen_at", "last_updated_at")
@@ -268,6 +273,13 @@ def k2(spark, path):
     return unique.select("item_id", "run")
 
 
+@query("K2_aggregator_unique_by_rounds", folds.AGGREGATOR_UNIQUE)
+def k2rounds(spark, path):
+    agg, direct = _aggregator(spark, path)
+    unique, _ = dedup.dedup_aggregator(agg, direct, scope="run", method="rounds")
+    return unique.select("item_id", "run")
+
+
 @query("K2_hit_log", folds.HIT_LOG)
 def k2log(spark, path):
     agg, direct = _aggregator(spark, path)

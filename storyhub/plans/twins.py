@@ -106,7 +106,7 @@ def region(title: str, code: str | None = None) -> str:
     if code:
         cases += [f"WHEN {code} = {q(k)} THEN {q(v)}" for k, v in lx.REGION_NAMES.items()]
     for name, frags in lx.REGION_TITLE_RULES:
-        pat = "|".join(rf"\b{f[1:]}\b" if f.startswith("=") else f for f in frags)
+        pat = "|".join([rf"\b{w}\b" for w in lx.REGION_WHOLE_WORDS.get(name, [])] + frags)
         cases.append(f"WHEN regexp_matches(lower({title}), {q(pat)}) THEN {q(name)}")
     return "CASE " + " ".join(cases) + f" ELSE {q(lx.DEFAULT_REGION)} END"
 

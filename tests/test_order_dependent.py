@@ -44,9 +44,9 @@ def assigned(df):
     return {r["ord"]: (r["hub_ord"], r["role"], r["merged_into"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("group_rows", [1000, 12, 0])
+@pytest.mark.parametrize("method", ["grouped", "components", "rounds"])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_clustering_equals_loop(spark, seed, group_rows):
+def test_clustering_equals_loop(spark, seed, method):
     rows = random_items(seed, 70)
     token_texts = [r["norm"] for r in rows]
     for r, v in zip(rows, features.hash_vectors(token_texts)):
@@ -55,7 +55,7 @@ def test_clustering_equals_loop(spark, seed, group_rows):
     df = frame(spark, rows).join(
         spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord"
     )
-    got = assigned(clustering.cluster_vectors(df, group_rows=group_rows))
+    got = assigned(clustering.cluster_vectors(df, method=method))
     assert got == loops.cluster(rows)
 
 
@@ -64,8 +64,8 @@ def test_clustering_of_copies_without_long_words(spark):
     rows += [dict(ord=20 + i, item_id=20 + i, title="ab cd", norm="ab cd", at=1704067200, publisher=f"q{i}", url=f"v{i}", embedding=[1.0, 0.0]) for i in range(4)]
     df = frame(spark, rows).join(spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord")
     want = loops.cluster(rows)
-    for size in (100, 0):
-        assert assigned(clustering.cluster_vectors(df, group_rows=size)) == want
+    for method in clustering.METHODS:
+        assert assigned(clustering.cluster_vectors(df, method=method)) == want
 
 
 def test_members_reach_threshold_and_runs_are_separate(spark):
@@ -82,12 +82,12 @@ def test_members_reach_threshold_and_runs_are_separate(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("group_rows", [1000, 0])
+@pytest.mark.parametrize("method", ["grouped", "rounds"])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_aggregator_dedup_equals_loop(spark, seed, group_rows):
+def test_aggregator_dedup_equals_loop(spark, seed, method):
     rows = random_items(seed, 120)
     agg, direct = rows[::2], rows[1::2]
-    unique, log = dedup.dedup_aggregator(frame(spark, agg), frame(spark, direct), group_rows=group_rows)
+    unique, log = dedup.dedup_aggregator(frame(spark, agg), frame(spark, direct), method=method)
     # The loop appends aggregator rows after all direct rows; give it that order.
     base = max(r["ord"] for r in rows) + 1
     moved = [dict(r, ord=r["ord"] + base) for r in agg]
@@ -98,11 +98,11 @@ def test_aggregator_dedup_equals_loop(spark, seed, group_rows):
     assert {r["ord"] for r in unique.collect()} == {r["ord"] for r in agg} - set(back)
 
 
-@pytest.mark.parametrize("group_rows", [1000, 0])
-def test_hub_duplicates_equal_loop(spark, group_rows):
+@pytest.mark.parametrize("method", ["grouped", "rounds"])
+def test_hub_duplicates_equal_loop(spark, method):
     rows = random_items(9, 80)
     df = frame(spark, rows).withColumn("cluster_id", (F.col("item_id") % 3).cast("string"))
-    got = {r["ord"]: r["matched_ord"] for r in dedup.hub_duplicates(df, group_rows=group_rows).collect()}
+    got = {r["ord"]: r["matched_ord"] for r in dedup.hub_duplicates(df, method=method).collect()}
     want = {}
     for k in range(3):
         want.update(loops.dedup([r for r in rows if r["item_id"] % 3 == k], [], band=None, min_title=1))
@@ -159,7 +159,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_lines_and_chunks_equal_loops(spark):
     docs = tb.table(spark, "/root/testdata/sf0.001", "documents").select(
         "doc_id", "text", text.prompt_lines("text").alias("lines")
-    ).withColumn("kept", text.distinct_lines("lines")).withColumn("chunks", text.sentence_chunks("text"))
+    ).withColumn("kept", text.distinct_lines("lines")).withColumn("chunks", text.sentence_chunks("text", max_chunks=4))
     for r in docs.collect():
         assert r["kept"] == loops.keep_lines(r["lines"])
         assert r["chunks"] == loops.chunks(r["text"])
@@ -176,5 +176,5 @@ def test_full_hub_refuses_items_far_from_its_lead(spark):
     want = loops.cluster(rows)
     assert len({h for h, _, _ in want.values()}) > 1
     df = frame(spark, rows).join(spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord")
-    for size in (100, 0):
-        assert assigned(clustering.cluster_vectors(df, group_rows=size)) == want
+    for method in clustering.METHODS:
+        assert assigned(clustering.cluster_vectors(df, method=method)) == want
