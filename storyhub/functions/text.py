@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from storyhub.functions import lexicon as lx
 
 SPACE = r"(?U)\s+"
-NOT_WORD = r"(?U)[^\p{L}\p{M}\p{N}\s]"
-NOT_WORD_OR_SPACE = r"(?U)[^\p{L}\p{M}\p{N}]"
-PUBLISHER_TAIL = r"(?U)\s*[\-–—|]\s*[^–—\-|\s]+.*\z"
-NBSP_TAIL = "\u00a0{2,}.*\\z"
-SIGNED_TAIL = r"\s+-\s+[A-Z][A-Za-z0-9\s.&'-]{2,35}\z"
-SENTENCE_BREAK = r"(?U)(?<=[.?!])\s+"
-TAG = r"<[^>]*>?"
+NOT_WORD = lx.NOT_WORD
+NOT_WORD_OR_SPACE = lx.NOT_WORD_OR_SPACE
+PUBLISHER_TAIL = lx.PUBLISHER_TAIL
+NBSP_TAIL = lx.NBSP_TAIL
+SIGNED_TAIL = lx.SIGNED_TAIL
+SENTENCE_BREAK = lx.SENTENCE_BREAK
+TAG = lx.TAG
 
 
 def col(c) -> Column:
@@ -106,15 +106,13 @@ def decode_entities(c: Column) -> Column:
 
 
 def strip_quotes(c: Column) -> Column:
-    return sub(c, "\\A[\"'“‘]+|[\"'”’]+\\z")
+    return sub(c, lx.OUTER_QUOTES)
 
 
 def clean_headline(c) -> Column:
     t = strip(strip_quotes(F.coalesce(col(c), F.lit(""))))
-    t = sub(t, r"(?U)\s*\|\s*.*\z")
-    t = sub(t, SIGNED_TAIL)
-    t = sub(t, r"(?i)\AMainstream media coverage highlights\s*")
-    t = sub(t, r"(?i)\s*as reported by.*\z")
+    for pattern in (lx.BAR_TAIL, SIGNED_TAIL, lx.COVERAGE_HEAD, lx.REPORTED_TAIL):
+        t = sub(t, pattern)
     return strip(decode_entities(t))
 
 
@@ -129,20 +127,21 @@ def plain_snippet(c, limit: int = 300) -> Column:
 
 
 def _strip_reasoning(c: Column) -> Column:
-    t = sub(c, r"(?is)<think>.*?</think>")
-    return strip_quotes(sub(t, r"(?is)<think>.*\z"))
+    for pattern in lx.REASONING:
+        c = sub(c, pattern)
+    return strip_quotes(c)
 
 
 def clean_generated(c) -> Column:
     t = _strip_reasoning(col(c))
-    t = sub(t, r"(?i)\A(?:neutral briefing|briefing|summary):\s*")
-    t = sub(t, r"(?i)\AMainstream media coverage highlights\s*")
-    return strip(sub(t, r"(?i)\s*as reported by.*\z"))
+    for pattern in (lx.BRIEFING_HEAD, lx.COVERAGE_HEAD, lx.REPORTED_TAIL):
+        t = sub(t, pattern)
+    return strip(t)
 
 
 def clean_translation(c) -> Column:
     t = _strip_reasoning(col(c))
-    for prefix in ("translation", "english", "headline"):
+    for prefix in lx.TRANSLATION_HEADS:
         t = sub(t, rf"(?i)\A{prefix}:\s*")
     return strip(t)
 
@@ -236,7 +235,7 @@ def feature_text(title, summary=None) -> Column:
         return F.when(trivial, head).otherwise(F.concat(head, F.lit(". "), head, F.lit(". "), body))
 
     body = let(sub(F.coalesce(col(summary), F.lit("")), TAG, " "), without_boilerplate)
-    body = sub(body, r"(?U)\A[^—]{1,120}\s+—\s+")
+    body = sub(body, lx.DATELINE)
     body = squeeze(cut_title_tail(body))
     return F.coalesce(let(head, lambda h: let(body, lambda b: whole(h, b))), F.lit(""))
 
@@ -254,7 +253,7 @@ def feature_tokens(text, stop_words=None) -> Column:
 def prompt_lines(raw) -> Column:
     """Cleaned lines of a raw text, before near-duplicates are dropped."""
     t = F.coalesce(col(raw), F.lit(""))
-    for element in ("script", "style", "nav", "footer"):
+    for element in lx.PROMPT_DROPPED_ELEMENTS:
         t = sub(t, rf"(?is)<{element}.*?</{element}>", " ")
     t = decode_entities(sub(t, TAG, " "))
     t = sub(t, f"(?is)(?:{any_of(lx.PROMPT_CUT_PHRASES)}).*\\z")

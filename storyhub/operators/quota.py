@@ -103,10 +103,12 @@ def rolling_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 600)
         "__slice", F.explode(F.sequence(own, F.floor((at + span) / width)))
     )
     with_slice = with_slice.withColumn("__own", F.col("__slice") == F.floor(F.col("__at") / width))
-    w = W.partitionBy("model", "__slice").orderBy("__at").rangeBetween(-span, 0)
+    # Both frames only grow, so a row is added once however long the span is.
+    w = W.partitionBy("model", "__slice").orderBy("__at")
+    until, before = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(W.unboundedPreceding, -span - 1)
     return (
-        with_slice.withColumn("minute_requests", F.count("*").over(w))
-        .withColumn("minute_tokens", F.sum("tokens").over(w))
+        with_slice.withColumn("minute_requests", F.count("*").over(until) - F.count("*").over(before))
+        .withColumn("minute_tokens", F.sum("tokens").over(until) - F.coalesce(F.sum("tokens").over(before), F.lit(0)))
         .filter("__own")
         .drop("__at", "__slice", "__own")
     )

@@ -54,6 +54,31 @@ TOPIC_CASES = [
     ("Anything at all", "BOOM Live Desk", "Fact-Check"),
     ("Lucknow gets a new bridge", None, "UP & Bihar"),
     ("Chennai metro opens line", None, "South India"),
+    ("Karan's new romantic drama finishes casting", None, "Entertainment"),
+    ("Box office numbers cross a record after the teaser", None, "Entertainment"),
+    ("Director denies talk of a death in the climax of the movie", None, "Entertainment"),
+    ("Bollywood star buys a duplex by the sea", None, "Entertainment"),
+    ("Commercial real estate investments climb in the third quarter", None, "Economy"),
+    ("Doctors at AIIMS use a robot for heart surgery", None, "Health"),
+    ("Vaccine shows strong protection against a virus", None, "Health"),
+    ("World Cup trophy lifted after a tense final over", None, "Sports"),
+    ("Kohli reaches another century as BCCI names the squad", None, "Sports"),
+    ("Badminton players win medal at the Asian Games", None, "Sports"),
+    ("Playoffs: home side qualify with a late goal", None, "Sports"),
+    ("Modi speaks in Lok Sabha as Parliament votes", None, "Politics"),
+    ("BJP and Congress clash before the assembly election", None, "Politics"),
+    ("Supreme Court grants bail and asks for a reply", None, "Courts & Law"),
+    ("High Court bench gives verdict on judicial reform", None, "Courts & Law"),
+    ("CBI raids lead to arrests in a fraud case", None, "Courts & Law"),
+    ("RBI holds repo rate as inflation eases", None, "Economy"),
+    ("Sensex and Nifty close at a record", None, "Economy"),
+    ("Google and Apple add generative AI to smartphones", None, "Technology"),
+    ("Semiconductor plant approved", None, "Technology"),
+    ("Wall Street slips as Federal Reserve turns cautious", None, "Economy"),
+    ("Oil prices jump on supply worries", None, "Economy"),
+    ("Yamuna water level passes danger mark after monsoon rain", None, "Environment"),
+    ("Air pollution worsens with stubble burning", None, "Environment"),
+    ("Farmers hold a protest march and chakka jam", None, "Protests"),
 ]
 
 
