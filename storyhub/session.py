@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,10 +75,28 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_run_folders: list[str] = []
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Collects all intermediate tables made inside in one folder below the
+    checkpoint folder and deletes it at the end. Results that read those tables
+    must be written or counted before the block ends."""
+    folder = scratch_path(spark, "run")
+    _run_folders.append(folder)
+    try:
+        yield folder
+    finally:
+        _run_folders.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, for stream state and output."""
-    import uuid
-
+    if _run_folders:
+        return f"{_run_folders[-1]}/{name}-{uuid.uuid4().hex}"
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not root.isDefined():

@@ -188,6 +188,16 @@ def test_entry_runs_from_another_folder(tmp_path):
     assert "rows " in done.stdout, done.stderr[-2000:]
 
 
+def test_run_folder_leaves_nothing(spark):
+    from storyhub.plans import load_all
+    from storyhub.session import run_folder
+
+    with run_folder(spark) as folder:
+        assert load_all()["K2_aggregator_unique"].run(spark, "/root/testdata/sf0.001").count() > 0
+        assert list(Path(folder.removeprefix("file:")).iterdir())
+    assert not Path(folder.removeprefix("file:")).exists()
+
+
 def test_registry_is_complete():
     import __spark_entry__ as entry
 
