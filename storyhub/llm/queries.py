@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, chat, coder, jaccard, packing, quality, secrets, substrings, vectors, warc
+from storyhub.llm import bpe, chat, coder, jaccard, packing, quality, secrets, substrings, twins, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def op1(spark, path):
     return quality.quality_verdicts(table(spark, path, "documents"))
 
 
-@query("op2_jaccard_join")
+@query("op2_jaccard_join", twins.JACCARD)
 def op2(spark, path):
     return jaccard.similar_documents(table(spark, path, "documents"))
 
@@ -53,7 +53,7 @@ def op4(spark, path):
     return coder.token_files(table(spark, path, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", twins.SECRETS)
 def op5(spark, path):
     return secrets.secret_report(table(spark, path, "documents"))
 
@@ -68,16 +68,16 @@ def op9(spark, path):
     return bpe.encode_documents(table(spark, path, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-@query("op7_doubling_dedup")
+@query("op7_doubling_dedup", twins.SUBSTRINGS)
 def op7(spark, path):
     return substrings.remove_repeats(table(spark, path, "documents")).drop("kept")
 
 
-@query("op8_metric_vector_join")
+@query("op8_metric_vector_join", twins.VECTORS)
 def op8(spark, path):
     return vectors.near_duplicate_vectors(table(spark, path, "embeddings"))
 
 
-@query("op10_warc_normaliser")
+@query("op10_warc_normaliser", twins.WARC)
 def op10(spark, path):
     return warc.archive_pages(table(spark, path, "pages")).drop("url", "payload")
