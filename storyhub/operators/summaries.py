@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyhub.functions import text, times, topics
+from storyhub.functions import media, text, times, topics
 from storyhub.operators.ranking import lane_balanced
 
 
@@ -87,6 +87,17 @@ def told(items: DataFrame, with_page: bool = False) -> Column:
     return F.concat_ws(" ", *[c for c in names if c in items.columns])
 
 
+def _with_excerpt(prompts: DataFrame, items: DataFrame, pages: DataFrame, sparse: int = 220, length: int = 650) -> DataFrame:
+    """Sparse prompts with the start of the first item's article."""
+    first = items.groupBy("hub_id").agg(F.min_by("url", "ord").alias("url"))
+    article = media.article_text("html", "url").alias("article")
+    asked = prompts.filter(F.length("prompt") < sparse).join(first, "hub_id").join(pages, "url").select("hub_id", article)
+    excerpt = F.substring(text.prompt_text("article"), 1, length)
+    asked = asked.filter("article IS NOT NULL").select("hub_id", F.concat(F.lit("\nExcerpt: "), excerpt).alias("__excerpt"))
+    out = prompts.join(asked, "hub_id", "left")
+    return out.withColumn("prompt", F.concat("prompt", F.coalesce("__excerpt", F.lit("")))).drop("__excerpt")
+
+
 def summary_plan(
     hubs: DataFrame,
     items: DataFrame,
@@ -96,9 +107,13 @@ def summary_plan(
     version: str = PROMPT_VERSION,
     system: str = SYSTEM_PROMPT,
     chunk_above: int = 850,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Work plan up to the model call: status, fallback, prompt, chunks, hash.
 
+    With `pages` (url, html; the landed articles), reports of under 220
+    characters get an excerpt of the first item's article.
+
     Whole-hub facts are aggregates; only the six chosen items of a hub are ever
     listed, so a hub of any size costs a bounded row.
     """
@@ -118,6 +133,8 @@ def summary_plan(
         .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("l"))
         .select("hub_id", text.prompt_text(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
     )
+    if pages is not None:
+        prompts = _with_excerpt(prompts, mine, pages)
     plan = recent.select("hub_id", "title").join(facts, "hub_id", "left").join(prompts, "hub_id", "left")
     n = F.coalesce("items", F.lit(0))
     flagged = F.coalesce("sensitive", F.lit(False)) | topics.is_sensitive(F.col("title"))

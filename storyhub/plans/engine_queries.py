@@ -393,7 +393,7 @@ def s18(spark, path):
 
 
 def _prompts_sql():
-    from storyhub.plans.text_queries import _prompt_lines_sql
+    from storyhub.plans.text_queries import _article_sql, _prompt_lines_sql
 
     lanes = "CASE lane WHEN 'mainstream' THEN 0 WHEN 'grassroots' THEN 1 WHEN 'discourse' THEN 2 ELSE 3 END"
     ranked = f"""r AS (SELECT cluster_id AS hub_id, item_id, ord, row_number() OVER (PARTITION BY cluster_id, {lanes} ORDER BY ord) AS lr,
@@ -401,7 +401,14 @@ def _prompts_sql():
       p AS (SELECT *, n > 6 AND ln < 3 AND lr <= 2 AS picked FROM r),
       o AS (SELECT *, row_number() OVER (PARTITION BY hub_id ORDER BY picked DESC, CASE WHEN picked THEN ln ELSE 3 END, ord) AS position FROM p),
       j AS (SELECT hub_id, string_agg(line, chr(10) ORDER BY position) AS txt FROM o JOIN v_report_lines USING (item_id) WHERE position <= 6 GROUP BY 1),
-      lined AS ({_prompt_lines_sql('j', 'hub_id', 'txt')}), k AS ({folds.distinct_lines('lined', 'hub_id', 'lines')})"""
+      lined AS ({_prompt_lines_sql('j', 'hub_id', 'txt')}), bare AS ({folds.distinct_lines('lined', 'hub_id', 'lines')}),
+      article AS ({_article_sql()}), alines AS ({_prompt_lines_sql('(SELECT * FROM article WHERE article IS NOT NULL)', 'page_id', 'article')}),
+      said AS ({folds.distinct_lines('alines', 'page_id', 'lines')}),
+      landed AS (SELECT url, min(item_id) AS page_id FROM v_items WHERE item_id IN (SELECT page_id FROM pages) GROUP BY url),
+      lead AS (SELECT cluster_id AS hub_id, arg_min(url, ord) AS url FROM v_joined GROUP BY 1),
+      k AS (SELECT hub_id, bare.kept || CASE WHEN length(bare.kept) < 220 AND said.kept IS NOT NULL
+        THEN chr(10) || 'Excerpt: ' || substr(said.kept, 1, 650) ELSE '' END AS kept
+        FROM bare LEFT JOIN lead USING (hub_id) LEFT JOIN landed USING (url) LEFT JOIN said USING (page_id))"""
     system = summaries.SYSTEM_PROMPT.replace("'", "''")
     job = f"CASE WHEN {t.tokens('kept')} > 2000 THEN 'long_input' ELSE 'short_medium' END"
     return f"""WITH {ranked} SELECT hub_id, kept AS prompt, {t.tokens('kept')} AS tokens, {job} AS job,
@@ -427,7 +434,10 @@ def k6(spark, path):
 @query("K6_prompts", _prompts_sql())
 def k6b(spark, path):
     cache = spark.createDataFrame([], "content_hash string, text string, expires_at timestamp, ord long")
-    plan = summaries.summary_plan(tb.hubs(spark, path), joined(spark, path), cache, AS_OF, hours=24 * 365)
+    # Landed articles: the page with the number of the item, one per url.
+    html = tb.pages(spark, path).select(F.col("page_id").alias("item_id"), "html")
+    landed = tb.items(spark, path).select("item_id", "url").join(html, "item_id").groupBy("url").agg(F.min_by("html", "item_id").alias("html"))
+    plan = summaries.summary_plan(tb.hubs(spark, path), joined(spark, path), cache, AS_OF, hours=24 * 365, pages=landed)
     return plan.select("hub_id", "prompt", "tokens", "job", "content_hash")
 
 
