@@ -74,7 +74,7 @@ def _encoder(path: str, end_id: int):
         coder = tokens.tokenizer(path)
         end = np.array([end_id], coder.kind).tobytes()
         for piece in arrays.slices(batches):
-            found = [x + end for x in coder.encode(piece.column("text").to_pylist())]
+            found = [x + end for x in coder.encode_column(piece.column("text"))]
             sizes = np.array([len(x) for x in found], np.int64) // coder.kind.itemsize
             at = np.concatenate(([0], np.cumsum(sizes)))
             keys = curve_keys(np.frombuffer(b"".join(found), coder.kind), at)
