@@ -145,7 +145,7 @@ def test_background_is_refused_above_the_buffer(spark):
     usage = spark.createDataFrame([("groq:openai/gpt-oss-20b", 900, 0, 0.0, 0, 0, None)], "model string, requests_used long, tokens_used long, units_used double, minute_requests long, minute_tokens long, cooling_until timestamp")
     asked = spark.createDataFrame([("groq:openai/gpt-oss-20b", 100, 110, p, False) for p in ("background", "interactive")], "model string, input_tokens long, output_tokens long, priority string, sensitive boolean")
     got = {r["priority"]: r["reason"] for r in quota.admission(asked, usage, limits, "2024-01-01 20:00:00").collect()}
-    assert got == {"background": "reserved_requests", "interactive": None}
+    assert got == {"background": "reserved_for_interactive_emergency_buffer_rpd", "interactive": None}
 
 
 def test_clustering_cases(spark):
