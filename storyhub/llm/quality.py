@@ -1,18 +1,22 @@
-"""Quality rules: base counts of a text and an n-gram perplexity band per language.
-
-Model. An n-gram is three byte classes in a row; the classes (letters, capitals,
-digits, kinds of punctuation, parts of multi-byte letters) are few, so the model
-has a proven size: at most (SLOTS + 1) * (A**3 + A**2 + A) entries of 16 bytes. Every
-text is counted: tasks add up their own texts and Spark sums the counts. Modified
-Kneser-Ney smoothing (three discounts per order from counts of counts, lower
-orders from numbers of distinct left neighbours) is computed with aggregates and
-windows. The result is stored as arrays sorted by n-gram hash and looked up by
-binary search.
-
-Bands. The perplexity of a text is the mean negative log probability of its
-bytes, each under the better of the model of its language and that of all texts,
-so that a text that quotes another language is not odd. Quartiles over all texts
-of a language set its lower and upper limit; a text outside them is rejected.
+"""Quality rules: base counts of a text and a perplexity band per language.
+
+Model. Words are predicted from the word before them by modified Kneser-Ney
+smoothing (three discounts per order from counts of counts, words by their
+number of distinct left neighbours). The pairs of words of all texts are
+counted, per language name, so the tables grow with the corpus; they stay in
+Spark and are looked up by joins. A word that is new falls back on its spelling:
+n-grams of three byte classes over all texts, a table of fixed size.
+
+A text must not be judged by itself: its hash puts it into one of two halves, and
+it is scored under the model of the other half of its language. Copies share a
+half.
+
+Look-up. Texts are cut into parts of bounded size. A part names each of its word
+pairs once, Spark joins them with the counts of the other half, and the part gets
+back only what it asked for.
+
+Bands. The perplexity of a text is the mean negative log probability of its bytes
+under the model of its language. See `quality_verdicts` for the limits.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +34,8 @@ from storyhub.llm import arrays
 from storyhub.session import materialize
 
 SLOTS = 64
-"""Languages share a model when their names fall into the same slot; the slot
-after the last one is the model of all texts together."""
+"""Slots of the spelling model by language name; texts are scored with the one after
+the last, which is made of all texts together."""
 
 # Byte classes; every byte not named falls into a class by rule below.
 MARKS = [".", ",", ";:", "'\"", "!", "?", "-", "()[]{}", "|", "#*$%&", "<>", "/\\", "_=+~^@`"]
@@ -221,6 +226,146 @@ class SortedModel:
         return -np.log(np.maximum(p3, 1e-12))
 
 
+PART_BYTES = 16 << 20
+PARTS = "doc_id long, text string, lang string, part long"
+COUNTED = "part long, fold int, lang_key long, a long, b long, n long"
+PAIR_MIX = np.uint64(0xD6E8FEB86659FD93)
+CLASS_SIZE = np.bincount(CLASS_OF, minlength=A)
+
+
+def _cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Name the part of every row; a part holds about PART_BYTES of text."""
+    base, number, size = TaskContext.get().partitionId() << 32, 0, 0
+    for piece in arrays.slices(batches):
+        _, at = arrays.text_bytes(piece.column("text"))
+        if size and size + at[-1] > PART_BYTES:
+            number, size = number + 1, 0
+        size += int(at[-1])
+        yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, base + number))], [*piece.schema.names, "part"])
+
+
+def _word_keys(piece) -> tuple[np.ndarray, ...]:
+    """Half and language of each text; first byte, key and key of the word before for each word."""
+    data, at = arrays.text_bytes(piece.column("text"))
+    starts, ends, word_at = arrays.find_words(data, at)
+    letters, lang_at = arrays.text_bytes(piece.column("lang"))
+    lang = arrays.word_hashes(letters, lang_at[:-1], lang_at[1:])
+    fold = (arrays.word_hashes(data, at[:-1], at[1:]) & np.uint64(1)).astype(np.int32)
+    owner = arrays.text_of(word_at)
+    b = arrays.mix(arrays.word_hashes(data, starts, ends) + lang[owner])
+    a = np.empty_like(b)
+    a[1:] = b[:-1]
+    heads = word_at[:-1][word_at[:-1] < word_at[1:]]
+    a[heads] = arrays.mix(lang[owner[heads]] + PAIR_MIX)
+    return data, at, starts, word_at, owner, fold, lang, a, b
+
+
+def _pair_key(fold: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return arrays.mix(arrays.mix(a) * PAIR_MIX + b * np.uint64(2) + fold.astype(np.uint64))
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word pairs of each part, each once with its count, and the words (b is null)."""
+    held, part = [], None
+
+    def flush():
+        fold, lang, a, b, n = (np.concatenate(x) for x in zip(*held))
+        _, first, which = np.unique(_pair_key(fold, a, b), return_index=True, return_inverse=True)
+        n = np.bincount(which, n, len(first)).astype(np.int64)
+        fold, lang, a, b = fold[first], lang[first], a[first], b[first]
+        # Histories are the words and the start of a text.
+        words, folds, langs = np.concatenate((a, b)), np.tile(fold, 2), np.tile(lang, 2)
+        _, own = np.unique(_pair_key(folds, words, words), return_index=True)
+        for f, g, x, y, k in ((fold, lang, a, b, n), (folds[own], langs[own], words[own], None, np.zeros(len(own), np.int64))):
+            last = pa.array(y.view(np.int64)) if y is not None else pa.nulls(len(x), pa.int64())
+            columns = [pa.array(np.full(len(x), part)), pa.array(f), pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), last, pa.array(k)]
+            whole = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COUNTED.split(", ")])
+            for at in range(0, len(x), 200_000):
+                yield whole.slice(at, 200_000)
+
+    for piece in arrays.slices(batches):
+        parts = piece.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
+        for start, end in zip(cuts, cuts[1:]):
+            if held and parts[start] != part:
+                yield from flush()
+                held = []
+            part = parts[start]
+            *_, owner, fold, lang, a, b = _word_keys(piece.slice(start, end - start))
+            _, first, n = np.unique(_pair_key(fold[owner], a, b), return_index=True, return_counts=True)
+            held.append((fold[owner][first], lang[owner][first], a[first], b[first], n))
+    if held:
+        yield from flush()
+
+
+def _tally(n: str, out: str) -> list:
+    """How many values are 1, 2, 3 or more, 3 and 4."""
+    tests = {"1": f"{n} = 1", "2": f"{n} = 2", "m": f"{n} >= 3", "3": f"{n} = 3", "4": f"{n} = 4"}
+    return [F.expr(f"count_if({test})").cast("double").alias(f"{out}{k}") for k, test in tests.items()]
+
+
+def _discount(c: str) -> list[str]:
+    """SQL of the three discounts from the tallies named c1, c2, c3 and c4; 0.5, 1, 1.5
+    where one of them would not lie above zero, so that every history backs off."""
+    y = f"{c}1 / ({c}1 + 2 * {c}2)"
+    own = [f"({k} - {k + 1} * {y} * {c}{k + 1} / {c}{k})" for k in (1, 2, 3)]
+    ok = " and ".join([f"{c}{k} > 0" for k in (1, 2, 3, 4)] + [f"{x} > 0" for x in own])
+    return [f"if({ok}, {x}, {k * 0.5}D)" for k, x in enumerate(own, 1)]
+
+
+def word_model(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, words) of the counted parts.
+
+    pairs: one row per part, half and word pair: n0 and n1, its counts in the
+    halves, and `lead`, true for one row of each pair. words: for each word and
+    half whose model holds it, the total and backoff weight as a history (total 0: never one), the
+    share of left neighbours, and the discounts and last backoff of its language.
+    """
+    same = Window.partitionBy("a", "b")
+    half = lambda f: F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).over(same).alias(f"n{f}")
+    first = (F.row_number().over(same.orderBy("part", "fold")) == 1).alias("lead")
+    pairs = materialize(counted.filter("b is not null").select("part", "fold", "lang_key", "a", "b", half(0), half(1), first))
+    each = pairs.filter("lead").select("lang_key", "a", "b", F.explode(F.expr("array(struct(0 as model, n0 as n), struct(1 as model, n1 as n))")).alias("x"))
+    each = each.select("lang_key", "a", "b", "x.model", "x.n").filter("n > 0")
+    heads = each.groupBy("lang_key", "model", F.col("a").alias("word")).agg(F.sum("n").alias("total"), *_tally("n", "h"))
+    tails = each.groupBy("lang_key", "model", F.col("b").alias("word")).agg(F.count("*").alias("left"))
+    keys = ["lang_key", "model", "word"]
+    lexicon = materialize(heads.join(tails, keys, "full").na.fill(0))
+    by_lang = lexicon.groupBy("lang_key", "model").agg(
+        F.sum("left").alias("all_left"), *_tally("left", "u"), *[F.sum(f"h{k}").alias(f"c{k}") for k in "1234"]
+    )
+    d, e = _discount("c"), _discount("u")
+    by_lang = by_lang.select(
+        "lang_key", "model", "all_left",
+        *[F.expr(x).alias(f"d{k}") for k, x in enumerate(d, 1)], *[F.expr(x).alias(f"e{k}") for k, x in enumerate(e, 1)],
+        "u1", "u2", "um",
+    ).withColumn("last_back", F.expr("(e1 * u1 + e2 * u2 + e3 * um) / all_left"))
+    words = lexicon.join(by_lang, ["lang_key", "model"]).select(
+        "model", "word", F.col("total").cast("double").alias("total"),
+        F.expr("if(total > 0, (d1 * h1 + d2 * h2 + d3 * hm) / total, 1D)").alias("back"),
+        F.expr("if(left > 0, (left - case left when 1 then e1 when 2 then e2 else e3 end) / all_left, 0D)").alias("share"),
+        "d1", "d2", "d3", "last_back",
+    )
+    return pairs, words
+
+
+ANSWERS = ["total", "back", "share", "d1", "d2", "d3", "last_back"]
+
+
+def _answers(counted: DataFrame) -> DataFrame:
+    """What each part asks for: its pairs with their count in the other half, its
+    words with their row of the model."""
+    pairs, words = word_model(counted)
+    other = F.when(F.col("fold") == 0, F.col("n1")).otherwise(F.col("n0")).alias("n")
+    none = [F.lit(None).cast("double").alias(c) for c in ANSWERS]
+    found = pairs.select("part", "fold", "a", "b", other, *none).filter("n > 0")
+    asked = counted.filter("b is null").select("part", "fold", F.col("a").alias("word"), (1 - F.col("fold")).alias("model"))
+    told = asked.join(words, ["model", "word"]).select(
+        "part", "fold", F.col("word").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), *ANSWERS
+    )
+    return found.unionByName(told)
+
+
 SCORED = """doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,
 n_repeat_words long, surprise double"""
 
@@ -255,35 +400,87 @@ def _repeat_words(words: np.ndarray, word_at: np.ndarray, size: int = 8) -> np.n
     return arrays.per_text((np.cumsum(edge[:-1]) > 0).astype(np.int64), word_at)
 
 
+class PartModel:
+    """The rows of the model that one part asked for, as sorted arrays."""
+
+    def __init__(self, told: pa.Table):
+        col = lambda c, kind: told[c].to_numpy().astype(kind)
+        fold, a = col("fold", np.int32), col("a", np.int64).view(np.uint64)
+        pair = told["b"].is_valid().to_numpy()
+        b = told["b"].fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
+        keys = _pair_key(fold[pair], a[pair], b[pair])
+        order = np.argsort(keys)
+        self.pairs, self.n = keys[order], col("n", np.float64)[pair][order]
+        keys = _pair_key(fold[~pair], a[~pair], a[~pair])
+        order = np.argsort(keys)
+        self.words = keys[order]
+        self.values = {c: col(c, np.float64)[~pair][order] for c in ANSWERS}
+
+    @staticmethod
+    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+    def last_back(self, fold: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Weight of the spelling per text. The start of a text is a word of every
+        language that has texts in the other half; 1 for one that has none."""
+        start = arrays.mix(lang + PAIR_MIX)
+        at, hit = self._find(self.words, _pair_key(fold, start, start))
+        return np.where(hit, self.values["last_back"][at], 1.0) if len(self.words) else np.ones(len(at))
+
+    def loss(self, fold: np.ndarray, a: np.ndarray, b: np.ndarray, spelled: np.ndarray, last_back: np.ndarray) -> np.ndarray:
+        """Negative log probability of words b after a; `spelled` is that of their spelling."""
+
+        def value(name, at, hit, default):
+            return np.where(hit, self.values[name][at], default) if len(self.words) else np.full(len(at), default)
+
+        history, word = self._find(self.words, _pair_key(fold, a, a)), self._find(self.words, _pair_key(fold, b, b))
+        at, hit = self._find(self.pairs, _pair_key(fold, a, b))
+        n = np.where(hit, self.n[at], 0.0) if len(self.pairs) else np.zeros(len(at))
+        cut = np.where(n == 1, value("d1", *history, 0.0), np.where(n == 2, value("d2", *history, 0.0), value("d3", *history, 0.0)))
+        own = np.where(n > 0, (n - cut) / np.maximum(value("total", *history, 1.0), 1.0), 0.0)
+        back = value("back", *history, 1.0)
+        with np.errstate(divide="ignore"):
+            return -np.logaddexp(np.log(own + back * value("share", *word, 0.0)), np.log(back * last_back) - spelled)
+
+
 def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables = SortedModel(*shared.value), {}
-        whole = model.surprise(SLOTS)
-        for piece in arrays.slices(batches):
-            data, at = arrays.text_bytes(piece.column("text"))
-            starts, ends, word_at = arrays.find_words(data, at)
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        model = PartModel(told)
+        spelling = SortedModel(*shared.value).surprise(SLOTS)
+        out = []
+        for piece in arrays.slices(texts.to_batches()):
+            data, at, starts, word_at, owner, fold, lang, a, b = _word_keys(piece)
+            _, ends, _ = arrays.find_words(data, at)
             words = arrays.word_hashes(data, starts, ends)
             letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
-            slots, which = np.unique(_langs(piece), return_inverse=True)
-            for slot in slots:
-                if int(slot) not in tables:
-                    tables[int(slot)] = np.minimum(model.surprise(int(slot)), whole)
-            table = np.concatenate([tables[int(s)] for s in slots])
-            loss = arrays.per_text(table[np.repeat(which, np.diff(at)) * A**3 + _codes(data, at)], at)
+            loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)] + np.log(CLASS_SIZE[CLASS_OF[data]]))))
+            # A word is spelled with the white space after it; white space before the first word counts by itself.
+            stops = np.append(starts[1:], len(data))
+            full = np.flatnonzero(word_at[:-1] < word_at[1:])
+            stops[word_at[full + 1] - 1] = at[full + 1]
+            each = model.loss(fold[owner], a, b, loss[stops] - loss[starts], model.last_back(fold, lang)[owner])
+            total = loss[at[1:]] - loss[at[:-1]]
+            total[full] = loss[starts[word_at[full]]] - loss[at[full]] + arrays.per_text(each, word_at)[full]
             sizes = np.diff(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column("doc_id"),
-                    piece.column("lang"),
-                    pa.array(np.diff(word_at)),
-                    pa.array(arrays.per_text(letters, at)),
-                    pa.array(arrays.per_text(SYMBOL[data], at)),
-                    pa.array(_dup_lines(data, at)),
-                    pa.array(_repeat_words(words, word_at)),
-                    pa.array(np.where(sizes > 0, loss / np.maximum(sizes, 1), 0.0)),
-                ],
-                [f.split()[0] for f in SCORED.replace("\n", " ").split(", ")],
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        piece.column("doc_id"),
+                        piece.column("lang"),
+                        pa.array(np.diff(word_at)),
+                        pa.array(arrays.per_text(letters, at)),
+                        pa.array(arrays.per_text(SYMBOL[data], at)),
+                        pa.array(_dup_lines(data, at)),
+                        pa.array(_repeat_words(words, word_at)),
+                        pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)),
+                    ],
+                    [f.split()[0] for f in SCORED.replace("\n", " ").split(", ")],
+                )
             )
+        return pa.Table.from_batches(out)
 
     return score
 
@@ -305,8 +502,12 @@ def quality_verdicts(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    shared = spark.sparkContext.broadcast(SortedModel.arrays_of(kneser_ney(docs).toArrow()))
-    scored = materialize(docs.mapInArrow(_scorer(shared), SCORED)).withColumn(
+    docs = materialize(docs.mapInArrow(_cut_parts, PARTS))
+    spelling = kneser_ney(docs).filter(F.col("slot") == SLOTS)
+    shared = spark.sparkContext.broadcast(SortedModel.arrays_of(spelling.toArrow()))
+    counted = materialize(docs.select("text", "lang", "part").mapInArrow(_count_pairs, COUNTED))
+    asked = docs.groupBy("part").cogroup(_answers(counted).groupBy("part"))
+    scored = materialize(asked.applyInArrow(_scorer(shared), SCORED)).withColumn(
         "base_failed", F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > 30 * n_words")
     )
     bands = (

@@ -144,6 +144,34 @@ def test_quality_keeps_prose_and_rejects_noise(spark, docs):
     assert judged and sum(r["kept"] for r in judged) >= 0.97 * len(judged)
 
 
+def test_quality_model_counts_every_pair_per_language(spark):
+    """The model holds each pair of words once per language name, with its counts in
+    both halves; names of one crc32 slot do not share it."""
+    from storyhub.llm import quality
+
+    names = ["en"] + [f"x{k}" for k in range(400) if quality.slot_of(f"x{k}") == quality.slot_of("en")][:2]
+    texts = [(k, " ".join(f"{'abcdefgh'[(k + j * j) % 8]}{j % 3}" for j in range(30 + k)), names[k % 3]) for k in range(12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    counted = df.mapInArrow(quality._cut_parts, quality.PARTS).mapInArrow(quality._count_pairs, quality.COUNTED)
+    pairs, words = quality.word_model(counted)
+    want = defaultdict(int)
+    for _, t, lang in texts:
+        w = ["<start>", *t.split(" ")]
+        for pair in zip(w, w[1:]):
+            want[(lang, *pair)] += 1
+    got = [r["n0"] + r["n1"] for r in pairs.filter("lead").collect()]
+    assert sorted(got) == sorted(want.values())
+    # Each history's shares and its backoff weight add up to one.
+    d = {(r["model"], r["word"]): r for r in words.collect()}
+    sums = defaultdict(float)
+    for r in pairs.filter("lead").collect():
+        for f in (0, 1):
+            if n := r[f"n{f}"]:
+                h = d[f, r["a"]]
+                sums[f, r["a"]] += (n - h[f"d{min(n, 3)}"]) / h["total"]
+    assert sums and all(abs(x + d[k]["back"] - 1) < 1e-9 for k, x in sums.items())
+
+
 # N-gram Jaccard join
 
 
