@@ -487,15 +487,18 @@ def _scorer(shared):
 
 def quality_verdicts(
     docs: DataFrame,
-    low: float = 8.0, high: float = 8.0, least: tuple[float, float] = (0.15, 0.45),
+    low: float = 3.0, high: float = 3.0, least: tuple[float, float] = (1.6, 0.0), spread_words: int = 100,
     min_words: int = 20,
 ) -> DataFrame:
     """One row per document: the base counts, `perplexity`, the band of its
     language and `kept`.
 
-    The band is the median of log perplexity minus `low` (plus `high`) times
-    the distance from the median to the quartile, but at least `least` wide below
-    and above. Documents that fail the base rules do not shape the bands.
+    The band is the median of log perplexity of the language minus `low` (plus
+    `high`) times the distance from the median to the quartile, but at least
+    `least` wide below and above: near copies of good texts lie far below, and
+    they are left to de-duplication. The width above grows for short texts, whose
+    mean spreads more, by sqrt(1 + spread_words / words). Documents that fail the
+    base rules do not shape the bands, though their words are counted.
 
     Null or empty text: zero counts, base_failed. Null language: a group of its
     own. Repeated rows are judged one by one. Other columns are ignored.
@@ -517,10 +520,13 @@ def quality_verdicts(
         .select(
             "group",
             F.expr(f"q[1] - greatest({least[0]}D, {low}D * (q[1] - q[0]))").alias("low"),
-            F.expr(f"q[1] + greatest({least[1]}D, {high}D * (q[2] - q[1]))").alias("high"),
+            F.col("q")[1].alias("mid"),
+            F.expr(f"greatest({least[1]}D, {high}D * (q[2] - q[1]))").alias("above"),
         )
     )
-    out = scored.withColumn("group", F.coalesce("lang", F.lit(""))).join(bands, "group", "left")
+    out = scored.withColumn("group", F.coalesce("lang", F.lit(""))).join(bands, "group", "left").withColumn(
+        "high", F.expr(f"mid + above * sqrt(1 + {int(spread_words)} / greatest(n_words, 1))")
+    )
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.expr("not base_failed and surprise between low and high").alias("kept"),

@@ -144,6 +144,31 @@ def test_quality_keeps_prose_and_rejects_noise(spark, docs):
     assert judged and sum(r["kept"] for r in judged) >= 0.97 * len(judged)
 
 
+def grammar_texts(rng, count, words=120):
+    """Sentences of a small grammar: after each word come three others only."""
+    texts = []
+    for _ in range(count):
+        k, out = int(rng.integers(0, 60)), []
+        for _ in range(words):
+            out.append("".join(chr(97 + (k * m + m) % 26) for m in (3, 5, 7, 11)))
+            k = (7 * k + int(rng.integers(1, 4))) % 60
+        texts.append(" ".join(out))
+    return texts
+
+
+def test_quality_rejects_shuffled_words(spark):
+    """Ordinary words in no order have the letters of good texts, not their word pairs."""
+    from storyhub.llm.quality import quality_verdicts
+
+    rng = np.random.default_rng(11)
+    texts = grammar_texts(rng, 150)
+    salad = [" ".join(rng.permutation(t.split(" "))) for t in grammar_texts(rng, 5)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(-1 - k, t, "en") for k, t in enumerate(salad)]
+    got = {r["doc_id"]: r["kept"] for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[-1 - k] for k in range(len(salad)))
+    assert sum(got[k] for k in range(len(texts))) >= 0.95 * len(texts)
+
+
 def test_quality_model_counts_every_pair_per_language(spark):
     """The model holds each pair of words once per language name, with its counts in
     both halves; names of one crc32 slot do not share it."""
@@ -172,6 +197,17 @@ def test_quality_model_counts_every_pair_per_language(spark):
     assert sums and all(abs(x + d[k]["back"] - 1) < 1e-9 for k, x in sums.items())
 
 
+def test_quality_shares_of_labels(spark):
+    """Of the labelled texts that pass the base rules, most bad ones go and good ones stay."""
+    from storyhub.llm.quality import quality_verdicts
+
+    sf = "/root/testdata/sf0.01"
+    verdicts = quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet")).filter("not base_failed")
+    rows = verdicts.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    kept = lambda q: [r["kept"] for r in rows if r["quality"] == q]
+    assert sum(kept(0)) <= 0.4 * len(kept(0)) and sum(kept(1)) >= 0.97 * len(kept(1))
+
+
 # N-gram Jaccard join
 
 
