@@ -220,7 +220,7 @@ def run_window(df):
     return df.withColumn("run", F.floor(F.unix_seconds("published_at") / 172800).cast("string"))
 
 
-def clustered(spark, path, method="grouped"):
+def clustered(spark, path, method="components"):
     return clustering.cluster_items(run_window(joined(spark, path).drop("cluster_id")), scope="run", method=method)
 
 

@@ -178,3 +178,27 @@ def test_full_hub_refuses_items_far_from_its_lead(spark):
     df = frame(spark, rows).join(spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord")
     for method in clustering.METHODS:
         assert assigned(clustering.cluster_vectors(df, method=method)) == want
+
+
+def test_no_grouped_pass_above_the_bound(spark, monkeypatch):
+    """Components above the bound are settled by rounds, others by one pass each, with
+    the result of the loop; the default gathers no larger group."""
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 5)
+    rows = random_items(3, 60)
+    for r, v in zip(rows, features.hash_vectors([r["norm"] for r in rows])):
+        r["embedding"] = [float(x) for x in v]
+    gathered = []
+    plain = clustering._grouped
+
+    def watched(part, key, threshold):
+        gathered.append(part.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"])
+        return plain(part, key, threshold)
+
+    monkeypatch.setattr(clustering, "_grouped", watched)
+    df = frame(spark, rows).join(
+        spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord"
+    )
+    assert assigned(clustering.cluster_vectors(df)) == loops.cluster(rows)
+    assert gathered and all(n is None or n <= 5 for n in gathered)
+    with pytest.raises(ValueError):
+        clustering.cluster_vectors(df, method="grouped")
