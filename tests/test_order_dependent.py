@@ -202,3 +202,22 @@ def test_no_grouped_pass_above_the_bound(spark, monkeypatch):
     assert gathered and all(n is None or n <= 5 for n in gathered)
     with pytest.raises(ValueError):
         clustering.cluster_vectors(df, method="grouped")
+
+
+def test_aggregator_queries_gather_no_scope(spark, monkeypatch):
+    """The default and the registered queries never take the grouped pass, which
+    refuses scopes above its bound."""
+    from storyhub.plans import load_all
+
+    def refuse(*args):
+        raise AssertionError("grouped pass")
+
+    direct, agg = random_items(7, 12), random_items(8, 40)
+    with monkeypatch.context() as m:
+        m.setattr(dedup, "_settle_grouped", refuse)
+        dedup.dedup_aggregator(frame(spark, agg), frame(spark, direct))
+        for name in ("K2_aggregator_unique", "K2_hit_log", "A14_dedup_report"):
+            load_all()[name].run(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 3)
+    with pytest.raises(ValueError):
+        dedup.dedup_aggregator(frame(spark, agg), frame(spark, direct), method="grouped")
