@@ -49,6 +49,19 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, loops.SF).count() == len(after)
 
 
+def test_filters_act_on_rows(spark):
+    """Rows without an id are filtered too, and of rows that share an id each is judged."""
+    import corpus_pipeline
+
+    long = [" ".join(f"{a}{k}" for k in range(40)) for a in "abc"]
+    rows = [(None, "too short"), (5, "short"), (5, long[0]), (None, long[1]), (None, long[1]), (7, long[2]), (7, long[2]), (None, long[2]), (6, long[2])]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    judged = loops.pairs(corpus_pipeline.quality_stage(spark, docs, loops.SF))
+    assert not {t for _, t in judged} & {"too short", "short"} and (5, long[0]) in judged
+    got = loops.pairs(corpus_pipeline.jaccard_stage(spark, docs.filter("length(text) > 20"), loops.SF))
+    loops.same(got, [(5, long[0]), (None, long[1]), (6, long[2])])
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
