@@ -7,7 +7,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyhub.llm import bpe, chat, coder, jaccard, packing, quality, secrets, substrings, twins, vectors, warc
+from storyhub.llm import (
+    alignment,
+    bpe,
+    chat,
+    coder,
+    jaccard,
+    mixing,
+    packing,
+    periodic,
+    quality,
+    secrets,
+    substrings,
+    twins,
+    vectors,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +96,19 @@ def op8(spark, path):
 @query("op10_warc_normaliser", twins.WARC)
 def op10(spark, path):
     return warc.archive_pages(table(spark, path, "pages")).drop("url", "payload")
+
+
+@query("op11_token_alignment")
+def op11(spark, path):
+    docs = table(spark, path, "documents")
+    return alignment.align_tokenizers(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), full=False)[0]
+
+
+@query("op12_periodic_runs")
+def op12(spark, path):
+    return periodic.periodic_runs(table(spark, path, "documents"), plant=True, full=False)
+
+
+@query("op13_fair_mixing", mixing.SQL)
+def op13(spark, path):
+    return mixing.mix_report(table(spark, path, "documents"))
