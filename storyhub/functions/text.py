@@ -226,12 +226,17 @@ def feature_text(title, summary=None) -> Column:
         for pattern in lx.FEATURE_BOILERPLATE:
             cleaned = sub(cleaned, "(?i)" + pattern, " ")
         # One look decides whether any of the patterns can match at all.
-        return F.when(body.rlike("(?i)" + any_of(lx.FEATURE_BOILERPLATE_HINTS)), cleaned).otherwise(body)
+        hinted = let(F.lower(body), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(h.lower())) for h in lx.FEATURE_BOILERPLATE_HINTS]))
+        return F.when(hinted, cleaned).otherwise(body)
+
+    def key(c):
+        return sub(F.lower(c), NOT_WORD_OR_SPACE)
 
     def whole(head, body):
-        key_head = sub(F.lower(head), NOT_WORD_OR_SPACE)
-        key_body = sub(F.lower(body), NOT_WORD_OR_SPACE)
-        trivial = (F.length(body) < 15) | let(key_body, lambda k: (k == key_head) | (k == ""))
+        # The key of a head of the body tells most bodies from the title.
+        start = F.substring(body, F.lit(1), F.length(head) * 2 + 64)
+        longer = F.length(key(start)) > F.length(key(head))
+        trivial = (F.length(body) < 15) | (~longer & let(key(body), lambda k: (k == key(head)) | (k == "")))
         return F.when(trivial, head).otherwise(F.concat(head, F.lit(". "), head, F.lit(". "), body))
 
     body = let(sub(F.coalesce(col(summary), F.lit("")), TAG, " "), without_boilerplate)
@@ -242,9 +247,10 @@ def feature_text(title, summary=None) -> Column:
 
 def feature_tokens(text, stop_words=None) -> Column:
     """Lower-cased words longer than one character, stop words dropped."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or lx.FEATURE_STOP_WORDS)])
+    stop = stop_words or lx.FEATURE_STOP_WORDS
     words = F.split(sub(F.lower(col(text)), NOT_WORD, " "), SPACE)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    # A list of literals becomes a hash set; an array would be searched word by word.
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
 
 
 # -- prompt text --------------------------------------------------------------

@@ -12,6 +12,7 @@ from storyhub.plans import twins as t
 from storyhub.plans.catalog import query, view
 from storyhub.plans.story_queries import AS_OF, NOW, joined, seconds
 from storyhub.sources import feeds, registry, sinks
+from storyhub.session import materialize
 from storyhub.sources import tables as tb
 
 # -- hashes and vectors ---------------------------------------------------------
@@ -234,6 +235,15 @@ def k1comp(spark, path):
     return clustered(spark, path, "components").select("item_id", "run", "cluster_id", "role", "merged_into")
 
 
+@query("K1_carried_hubs", folds.CARRIED_CLUSTERS)
+def k1carried(spark, path):
+    """Two loads: the second is clustered against the hubs of the first."""
+    rows = run_window(joined(spark, path).drop("cluster_id")).withColumn("ord", F.col("item_id") % 2 * F.lit(10**18) + F.col("ord"))
+    first = materialize(clustering.cluster_items(rows.filter("item_id % 2 = 0"), scope="run"))
+    second = clustering.cluster_items(rows.filter("item_id % 2 = 1"), scope="run", carried=first)
+    return second.select("item_id", "run", "cluster_id", "role", "merged_into")
+
+
 @query("K1_event_hubs", folds.EVENT_HUBS)
 def k1b(spark, path):
     return seconds(clustering.hubs_of(clustered(spark, path), AS_OF, scope="run"), "first_seen_at", "last_updated_at")
@@ -666,7 +676,7 @@ def s10(spark, path):
     "SELECT hub_id, title, item_count, last_s AS last_updated_at FROM v_hubs",
 )
 def s15(spark, path):
-    from storyhub.session import scratch_path
+    from storyhub.session import materialize, scratch_path
 
     folder = scratch_path(spark, "cache")
     rows = tb.hubs(spark, path).select("hub_id", "title", "item_count", "last_updated_at")

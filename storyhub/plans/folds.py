@@ -89,6 +89,32 @@ LAST_WINDOW_CLUSTERS = f"""WITH c AS (SELECT unnest(decided) AS d FROM ({fold('v
     l AS (SELECT ord AS hub, sha256(url) AS h FROM v_items)
     SELECT d.item_id AS item_id, {_UUID} AS cluster_id, d.role AS role FROM c JOIN l ON d.hub = l.hub"""
 
+# Two loads of a run: even items first, odd items against the hubs of the even ones.
+_LOADED = "(item_id % 2) * 1000000000000000000 + ord"
+view(
+    "v_loaded_rows",
+    f"""SELECT (pub_s // 172800)::VARCHAR AS run, {_LOADED} AS ord, {{'item_id': item_id, 'ord': {_LOADED}, 'hub': 0, 'role': '', 'merged': NULL,
+      'pub': source_name, 'norm': norm_title, 'words': {t.words('norm_title')}, 'url': url,
+      'vec': coalesce(vec, [0.0]), 'live': vec IS NOT NULL}} AS r FROM v_joined LEFT JOIN v_item_vectors USING (item_id)""",
+)
+CARRIED_CLUSTERS = f"""WITH c AS (SELECT run, unnest(decided) AS d FROM ({fold('v_loaded_rows', 'run', _CLUSTER_ROW, _DECIDE_CLUSTER)})),
+    l AS (SELECT {_LOADED} AS hub, sha256(url) AS h FROM v_items)
+    SELECT d.item_id AS item_id, run, {_UUID} AS cluster_id, d.role AS role, d.merged AS merged_into FROM c JOIN l ON d.hub = l.hub
+    WHERE d.item_id % 2 = 1"""
+
+# Micro-batches of the last two days: items land by id, three files in a row.
+_LANDED = "(item_id % 3) * 1000000000000000000 + ord"
+view(
+    "v_landed_rows",
+    f"""SELECT 1 AS run, {_LANDED} AS ord, {{'item_id': item_id, 'ord': {_LANDED}, 'hub': 0, 'role': '', 'merged': NULL,
+      'pub': source_name, 'norm': norm_title, 'words': {t.words('norm_title')}, 'url': url,
+      'vec': coalesce(vec, [0.0]), 'live': vec IS NOT NULL}} AS r FROM v_joined LEFT JOIN v_item_vectors USING (item_id)
+    WHERE {_LANDED} IN (SELECT min({_LANDED}) FROM v_items WHERE pub_s >= (SELECT max(pub_s) FROM v_items) - 172800 GROUP BY url)""",
+)
+LANDED_CLUSTERS = f"""WITH c AS (SELECT unnest(decided) AS d FROM ({fold('v_landed_rows', 'run', _CLUSTER_ROW, _DECIDE_CLUSTER)})),
+    l AS (SELECT {_LANDED} AS hub, sha256(url) AS h FROM v_items)
+    SELECT d.item_id AS item_id, {_UUID} AS cluster_id, d.role AS role FROM c JOIN l ON d.hub = l.hub"""
+
 # -- first in order wins ------------------------------------------------------------
 
 _DEDUP_ROW = (

@@ -181,25 +181,26 @@ def test_full_hub_refuses_items_far_from_its_lead(spark):
 
 
 def test_no_grouped_pass_above_the_bound(spark, monkeypatch):
-    """Components above the bound are settled by rounds, others by one pass each, with
-    the result of the loop; the default gathers no larger group."""
-    monkeypatch.setattr(clustering, "GROUP_ROWS", 5)
+    """Components above the bound are worked slice by slice, others in one pass, with
+    the result of the loop; no pass holds more rows than the bound."""
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 16)
     rows = random_items(3, 60)
     for r, v in zip(rows, features.hash_vectors([r["norm"] for r in rows])):
         r["embedding"] = [float(x) for x in v]
     gathered = []
-    plain = clustering._grouped
+    plain = clustering._told
 
-    def watched(part, key, threshold):
-        gathered.append(part.groupBy(key).count().agg(F.max("count").alias("n")).first()["n"])
-        return plain(part, key, threshold)
+    def watched(part, kind, **given):
+        if kind == "item":
+            gathered.append(part.groupBy("component").count().agg(F.max("count").alias("n")).first()["n"])
+        return plain(part, kind, **given)
 
-    monkeypatch.setattr(clustering, "_grouped", watched)
+    monkeypatch.setattr(clustering, "_told", watched)
     df = frame(spark, rows).join(
         spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord"
     )
     assert assigned(clustering.cluster_vectors(df)) == loops.cluster(rows)
-    assert gathered and all(n is None or n <= 5 for n in gathered)
+    assert gathered and all(n is None or n <= 16 for n in gathered)
     with pytest.raises(ValueError):
         clustering.cluster_vectors(df, method="grouped")
 
@@ -221,3 +222,44 @@ def test_aggregator_queries_gather_no_scope(spark, monkeypatch):
     monkeypatch.setattr(dedup, "GROUP_ROWS", 3)
     with pytest.raises(ValueError):
         dedup.dedup_aggregator(frame(spark, agg), frame(spark, direct), method="grouped")
+
+
+def with_vectors(spark, rows):
+    df = frame(spark, rows)
+    return df.join(spark.createDataFrame([(r["ord"], r["embedding"]) for r in rows], "ord long, embedding array<double>"), "ord")
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_carried_hubs_equal_loop(spark, monkeypatch, late):
+    """Items clustered against the hubs of an earlier load: as one load in that order. The
+    earlier items may have higher numbers, as load order is newest first."""
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 16)
+    rows = random_items(6, 60)
+    for r, v in zip(rows, features.hash_vectors([r["norm"] for r in rows])):
+        r["embedding"] = [float(x) for x in v]
+    old, new = (rows[30:], rows[:30]) if late else (rows[:30], rows[30:])
+    shift = 2**61 if late else 0
+    want = loops.cluster([dict(r, ord=r["ord"] - shift) for r in old] + new)
+    back = lambda o: o + shift if o is not None and o < 0 else o
+    first = loops.cluster(old)
+    carried = with_vectors(spark, [r for r in old if first[r["ord"]][1] != "duplicate"]).join(
+        spark.createDataFrame([(o, h) for o, (h, _, _) in first.items()], "ord long, hub long"), "ord"
+    )
+    got = assigned(clustering.cluster_vectors(with_vectors(spark, new), carried=carried))
+    assert got == {o: (back(h), role, back(m)) for o, (h, role, m) in want.items() if o in {r["ord"] for r in new}}
+    assert any(h in {r["ord"] for r in old} for h, _, _ in got.values())
+
+
+def test_carried_hubs_keep_their_ids(spark):
+    base = dict(title="river floods the old town again", raw_summary="", source_name="a", published_at=None)
+    schema = "ord long, url string, title string, raw_summary string, source_name string"
+    row = lambda o, url, source: (o, url, base["title"], "", source)
+    first = clustering.cluster_items(spark.createDataFrame([row(5, "u5", "a")], schema))
+    second = clustering.cluster_items(spark.createDataFrame([row(1, "u1", "b"), (2, "u5", "quite another matter of tax law", "", "c")], schema), carried=first)
+    ids = {r["ord"]: (r["cluster_id"], r["hub_ord"], r["role"], r["merged_into"]) for r in second.collect()}
+    kept = first.first()["cluster_id"]
+    assert ids[1] == (kept, 5, "duplicate", 5)
+    # The url of a carried lead leads a new hub here: it must get an id of its own.
+    assert ids[2][2] == "lead" and ids[2][0] != kept
+    with pytest.raises(ValueError):
+        clustering.cluster_items(spark.createDataFrame([row(1, "u1", "b")], schema), carried=first, method="grouped")

@@ -86,6 +86,25 @@ def test_cluster_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_carried_cluster_stream_keeps_ids_over_batches(spark, tmp_path):
+    items = tb.items(spark, "/root/testdata/sf0.01").withColumn("source_name", F.col("source_id").cast("string"))
+    recent = items.filter(F.col("published_at") >= "2024-01-30").select("ord", "item_id", "title", "url", "raw_summary", "published_at", "source_name")
+    for k in range(3):
+        recent.filter(F.col("item_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = st.landed_files(spark, str(tmp_path / "in"), recent.schema, per_trigger=1)
+    st.run_once(stream, str(tmp_path / "ck"), sink=st.carry_sink(str(tmp_path / "state")))
+    states = [
+        {r["item_id"]: (r["cluster_id"], r["role"]) for r in st.read_state(spark, str(tmp_path / "state"), key=None, before=k).collect()} for k in (1, 2, 3)
+    ]
+    assert len(states[0]) < len(states[1]) < len(states[2])
+    for early, late in zip(states, states[1:]):
+        assert all(late[i] == found for i, found in early.items())
+    placed = recent.withColumn("ord", F.col("item_id") % 3 * F.lit(10**18) + F.col("ord"))
+    firsts = placed.groupBy("url").agg(F.min("ord").alias("ord")).select("ord")
+    want = clustering.cluster_items(placed.join(firsts, "ord", "left_semi"))
+    assert states[2] == {r["item_id"]: (r["cluster_id"], r["role"]) for r in want.collect()}
+
+
 def test_cache_files_log_and_truncate(spark, tmp_path):
     (tmp_path / "hubs.json").write_text(json.dumps([{"id": "a", "n": 1}, {"id": "b", "n": 2}]))
     assert sinks.read_json(spark, str(tmp_path / "hubs.json")).count() == 2
