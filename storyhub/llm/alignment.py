@@ -39,7 +39,7 @@ from storyhub.llm import arrays
 from storyhub.llm.bpe import byte_letters
 from storyhub.session import materialize
 
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 JOINED_CHUNKS = 256
 CACHED_BYTES = 256
 PART_BYTES = 16 << 20
