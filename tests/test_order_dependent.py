@@ -263,3 +263,20 @@ def test_carried_hubs_keep_their_ids(spark):
     assert ids[2][2] == "lead" and ids[2][0] != kept
     with pytest.raises(ValueError):
         clustering.cluster_items(spark.createDataFrame([row(1, "u1", "b")], schema), carried=first, method="grouped")
+
+
+def test_near_long_titles(spark):
+    """Sets on both sides of the size at which the kind of mark changes, and very long ones."""
+    rng = random.Random(12)
+    sets = []
+    for size in [30, 40, 41, 46, 47, 48, 49, 55, 60, 300, 700]:
+        first = rng.sample(range(5000), size)
+        sets.append(first)
+        for change in (1, size // 14, size // 12, size // 11, size // 5):
+            sets += [first[change:] + rng.sample(range(5000, 9000), change), first[change:], first + rng.sample(range(5000, 9000), change)]
+    words = [frozenset(f"word{x}" for x in s) for s in sets]
+    rows = list({("w:" + " ".join(sorted(w)), tuple(sorted(w))) for w in words})
+    df = spark.createDataFrame([(k, list(w)) for k, w in rows], "title_key string, words array<string>")
+    got = {(r["key_a"], r["key_b"]): r["similarity"] for r in dedup.near_title_keys(df).collect()}
+    want = {(a, b): loops.overlap(set(v), set(w)) for a, v in rows for b, w in rows if a != b and loops.overlap(set(v), set(w)) >= 0.85}
+    assert got == want and len({len(k[0].split()) for k in got}) > 10
