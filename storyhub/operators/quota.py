@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from storyhub.functions import times
 from storyhub.functions.text import col
+from storyhub.session import materialize
 
 LIMIT_SCHEMA = (
     "model string, provider string, scope string, reset_hour int, rpm long, rpd long, tpm long, tpd long, "
@@ -114,6 +115,71 @@ def rolling_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 600)
     )
 
 
+def next_points(points: DataFrame, span: int, width: int) -> DataFrame:
+    """(model, at, jump): the first point of the model at least `span` after each one.
+
+    The answer lies in the slice of the time asked for, or it is the first point of
+    the next slice that has any; so windows run over one slice, or over one row per slice."""
+    asked = points.select("model", (F.col("at") + span).alias("pos"), F.col("at").alias("ask"))
+    both = points.select("model", F.col("at").alias("pos"), F.lit(None).cast("bigint").alias("ask")).unionByName(asked)
+    both = both.withColumn("slice", F.floor(F.col("pos") / width))
+    here = F.min(F.when(F.col("ask").isNull(), F.col("pos"))).over(
+        W.partitionBy("model", "slice").orderBy("pos").rangeBetween(W.currentRow, W.unboundedFollowing)
+    )
+    found = both.withColumn("here", here).filter("ask IS NOT NULL").select("model", "slice", F.col("ask").alias("at"), "here")
+    firsts = both.groupBy("model", "slice").agg(F.min(F.when(F.col("ask").isNull(), F.col("pos"))).alias("first"))
+    later = F.min("first").over(W.partitionBy("model").orderBy("slice").rowsBetween(1, W.unboundedFollowing))
+    firsts = firsts.withColumn("later", later).select("model", "slice", "later")
+    return found.join(firsts, ["model", "slice"]).select("model", "at", F.coalesce("here", "later").alias("jump"))
+
+
+def block_starts(points: DataFrame, span: int, width: int) -> DataFrame:
+    """(model, at) of the points at which a block begins: the first of a model, and then
+    always the first one `span` or more after the last start.
+
+    Pointer doubling: links to the next start are doubled, and starts pass their mark
+    along them, so n starts in a row are marked in log2(n) joins. Joins are on
+    model and time, so a model with most of the calls is no hot key."""
+    head = points.groupBy("model").agg(F.min("at").alias("at")).withColumn("start", F.lit(True))
+    links = next_points(points, span, width)
+    state = materialize(links.join(head, ["model", "at"], "left").withColumn("start", F.coalesce("start", F.lit(False))))
+    ends = points.agg(((F.max("at") - F.min("at")) / span).alias("n")).first()["n"]
+    for _ in range(int(ends or 0).bit_length() + 1):
+        marked = state.filter("start AND jump IS NOT NULL").select("model", F.col("jump").alias("at"), F.lit(True).alias("hit")).distinct()
+        further = state.select("model", F.col("at").alias("jump"), F.col("jump").alias("far"))
+        state = materialize(
+            state.join(further, ["model", "jump"], "left").join(marked, ["model", "at"], "left")
+            .select("model", "at", F.col("far").alias("jump"), (F.col("start") | F.coalesce("hit", F.lit(False))).alias("start"))
+        )
+    return state.filter("start").select("model", "at")
+
+
+def block_usage(calls: DataFrame, seconds: int = 60, slice_seconds: int = 600) -> DataFrame:
+    """Requests and tokens of the current block per model, at every call: a block
+    begins with the first call `seconds` or more after the start of the last
+    one, and counters begin anew. Calls at one time count together; calls without
+    a time are left out."""
+    width, span = slice_seconds * 1_000_000, seconds * 1_000_000
+    timed = calls.withColumn("__at", F.unix_micros("ts")).filter("__at IS NOT NULL")
+    points = materialize(timed.select("model", F.col("__at").alias("at")).distinct())
+    starts = block_starts(points, span, width)
+    # A start is less than `span` before all calls of its block: it is copied that far.
+    own = F.floor(F.col("at") / width)
+    spread = starts.withColumn("slice", F.explode(F.sequence(own, F.floor((F.col("at") + span) / width))))
+    seen = points.withColumn("slice", own).withColumn("begin", F.lit(None).cast("bigint")).unionByName(spread.withColumn("begin", F.col("at")))
+    begin = F.max("begin").over(W.partitionBy("model", "slice").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    blocks = seen.withColumn("block", begin).filter("begin IS NULL").select("model", F.col("at").alias("__at"), "block")
+    by_time = blocks.join(
+        timed.groupBy("model", "__at").agg(F.count("*").alias("__n"), F.sum("tokens").alias("__t")), ["model", "__at"]
+    )
+    so_far = W.partitionBy("model", "block").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_time = by_time.select(
+        "model", "__at", F.timestamp_micros("block").alias("block_start"),
+        F.sum("__n").over(so_far).alias("minute_requests"), F.sum("__t").over(so_far).alias("minute_tokens"),
+    )
+    return timed.join(by_time, ["model", "__at"]).drop("__at")
+
+
 def admission(requests: DataFrame, usage: DataFrame, limits: DataFrame, as_of) -> DataFrame:
     """Allow or refuse each request x model, with the first failing reason.
 

@@ -10,6 +10,7 @@ from storyhub.functions import text, times, topics
 from storyhub.functions.text import col, contains_any
 from storyhub.operators.ranking import first_n, top_n
 from storyhub.operators.rollups import hub_cards, hub_languages
+from storyhub.operators.running import running_totals
 from storyhub.session import materialize
 
 FACT_CHECK_QUERIES = ["fact check", "fact-check", "factcheck"]
@@ -57,12 +58,15 @@ def attach_items(hubs: DataFrame, items: DataFrame) -> DataFrame:
     return hubs.join(i, "hub_id")
 
 
-def nest_items(items: DataFrame, limit: int, hub="cluster_id", order="ord", fields=("item_id", "title", "url")) -> DataFrame:
-    """First `limit` items of each hub as an ordered array of structs."""
-    near = first_n(items, hub, order, limit)
-    return near.groupBy(hub).agg(
-        F.sort_array(F.collect_list(F.struct(order, *fields))).alias("items")
-    )
+def nest_items(items: DataFrame, page: int, hub="cluster_id", order="ord", fields=("item_id", "title", "url")) -> DataFrame:
+    """All items of each hub in order, as arrays of at most `page` structs: (hub, page, items).
+
+    Places come from a range sort over all items, so neither a task nor a row ever holds a whole hub."""
+    slim = items.select(hub, order, *fields, F.lit(1).cast("bigint").alias("__one"))
+    placed = running_totals(materialize(slim), [hub, order], ["__one"]).withColumnRenamed("before___one", "__at")
+    first = placed.groupBy(hub).agg(F.min("__at").alias("__first"))
+    paged = placed.join(first, hub).withColumn("page", F.floor((F.col("__at") - F.col("__first")) / F.lit(page)))
+    return paged.groupBy(hub, "page").agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("items"))
 
 
 def hub_with_items(hubs: DataFrame, items: DataFrame, hub_id: str, limit: int | None = None) -> DataFrame:

@@ -355,16 +355,14 @@ def k3(spark, path):
 
 @query(
     "J13_shared_urls",
-    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, regexp_extract(i.url, '^https://[^/]+') AS url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
+    f"""WITH {_EDITIONS}, u AS (SELECT DISTINCT as_of, k.hub_id, i.url FROM k JOIN v_joined i ON k.hub_id = i.cluster_id
       WHERE coalesce(primary_rank, fallback_rank) IS NOT NULL AND i.pub_s >= as_of - 129600)
     SELECT strftime(to_timestamp(a.as_of) AT TIME ZONE 'UTC', '%Y-%m-%d') AS edition, a.hub_id, string_agg(DISTINCT b.hub_id, ',' ORDER BY b.hub_id) AS overlaps
     FROM u a JOIN u b ON a.as_of = b.as_of AND a.url = b.url AND a.hub_id <> b.hub_id GROUP BY a.as_of, a.hub_id""",
 )
 def j13(spark, path):
     c = digest.edition_candidates(tb.hubs(spark, path))
-    # Landed items never share a whole url across titles; their sites do.
-    site = F.regexp_extract("url", "^https://[^/]+", 0)
-    out = digest.shared_urls(c, joined(spark, path).withColumn("url", site))
+    out = digest.shared_urls(c, joined(spark, path))
     return out.select(F.col("edition").cast("string").alias("edition"), "hub_id", F.array_join("overlaps", ",").alias("overlaps"))
 
 
@@ -517,6 +515,20 @@ def w6(spark, path):
     return quota.rolling_usage(_calls(spark, path), seconds=600).select("event_id", "minute_requests", "minute_tokens")
 
 
+@query(
+    "W6_block_usage",
+    """SELECT event_id, floor(epoch(s))::BIGINT AS block_start, count(*) OVER w AS minute_requests, (sum(tokens) OVER w)::BIGINT AS minute_tokens FROM (
+      WITH RECURSIVE b AS (SELECT model, min(ts) AS s FROM v_calls GROUP BY 1
+        UNION ALL SELECT b.model, min(c.ts) AS s FROM b JOIN v_calls c ON c.model = b.model AND c.ts >= b.s + INTERVAL 600 SECONDS GROUP BY b.model)
+      SELECT c.event_id, c.model, c.ts, c.tokens, max(b.s) AS s FROM v_calls c JOIN b ON b.model = c.model AND b.s <= c.ts AND b.s > c.ts - INTERVAL 600 SECONDS
+      GROUP BY ALL)
+    WINDOW w AS (PARTITION BY model, s ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def w6block(spark, path):
+    out = quota.block_usage(_calls(spark, path), seconds=600, slice_seconds=3600)
+    return out.select("event_id", F.unix_seconds("block_start").alias("block_start"), "minute_requests", "minute_tokens")
+
+
 def _admission_sql():
     need = "(inp + 110)"
     return f"""WITH r AS (SELECT event_id, model, (tokens * 8)::BIGINT AS inp, CASE WHEN event_id % 2 = 0 THEN 'background' ELSE 'interactive' END AS pri,

@@ -86,14 +86,13 @@ def j2(spark, path):
 
 @query(
     "J2_nested_items",
-    """SELECT cluster_id AS hub_id, string_agg(item_id, ',' ORDER BY ord) AS items FROM
-    (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS n FROM v_story) WHERE n <= 3 GROUP BY 1""",
+    """SELECT cluster_id AS hub_id, n // 4 AS page, string_agg(item_id, ',' ORDER BY ord) AS items FROM
+    (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) - 1 AS n FROM v_story) GROUP BY 1, 2""",
 )
 def j2n(spark, path):
-    out = views.nest_items(tb.story_items(spark, path), 3)
-    key = "hub_id" if "hub_id" in out.columns else "cluster_id"
+    out = views.nest_items(tb.story_items(spark, path), 4)
     ids = F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",")
-    return out.select(F.col(key).alias("hub_id"), ids.alias("items"))
+    return out.select(F.col("cluster_id").alias("hub_id"), "page", ids.alias("items"))
 
 
 @query(

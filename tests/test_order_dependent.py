@@ -280,3 +280,40 @@ def test_near_long_titles(spark):
     got = {(r["key_a"], r["key_b"]): r["similarity"] for r in dedup.near_title_keys(df).collect()}
     want = {(a, b): loops.overlap(set(v), set(w)) for a, v in rows for b, w in rows if a != b and loops.overlap(set(v), set(w)) >= 0.85}
     assert got == want and len({len(k[0].split()) for k in got}) > 10
+
+
+@pytest.mark.parametrize("seconds,width", [(60, 600), (60, 45), (7, 1000)])
+def test_block_usage_equals_loop(spark, seconds, width):
+    """Counters that begin anew; one model holds a third of the calls, with gaps over many slices."""
+    from storyhub.operators import quota
+
+    rng = random.Random(seconds)
+    rows, n = [], 0
+    for model, calls in (("hot", 300), ("b", 90), ("c", 60), ("lone", 1)):
+        at = 1704067200
+        for _ in range(calls):
+            at += rng.choice([0, 1, 3, 20, seconds - 1, seconds, seconds + 1, 5000])
+            rows.append((n, model, at, rng.randrange(100)))
+            n += 1
+    want = {}
+    for model in {r[1] for r in rows}:
+        start, sums = None, {}
+        for _, _, at, tokens in [r for r in rows if r[1] == model]:
+            if start is None or at - start >= seconds:
+                start, requests, used = at, 0, 0
+            requests, used = requests + 1, used + tokens
+            sums[at] = (start, requests, used)  # calls at one time count together
+        want |= {i: sums[at] for i, m, at, _ in rows if m == model}
+    df = spark.createDataFrame(rows, "event_id long, model string, at long, tokens long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    df = df.unionByName(spark.createDataFrame([(-1, "hot", 5, None)], "event_id long, model string, tokens long, ts timestamp"))
+    got = {r["event_id"]: (int(r["block_start"].timestamp()), r["minute_requests"], r["minute_tokens"]) for r in quota.block_usage(df, seconds, width).collect()}
+    assert got == want
+
+
+def test_shared_urls_are_whole_urls(spark):
+    from storyhub.operators import digest
+
+    c = spark.createDataFrame([("e", h, "2024-01-10 02:00:00") for h in "abc"], "edition string, hub_id string, as_of string").withColumn("as_of", F.to_timestamp("as_of"))
+    urls = [("a", "https://s/1"), ("b", "https://s/1"), ("b", "https://s/2"), ("c", "https://s/3")]
+    i = spark.createDataFrame(urls, "cluster_id string, url string").withColumn("published_at", F.to_timestamp(F.lit("2024-01-10 01:00:00")))
+    assert {r["hub_id"]: r["overlaps"] for r in digest.shared_urls(c, i).collect()} == {"a": ["b"], "b": ["a"]}

@@ -227,8 +227,16 @@ def test_registry_is_complete():
     assert set(load_all()) <= set(twins)
 
 
-def test_nested_items_are_ordered_and_limited(spark):
+def test_nested_items_are_ordered_and_paged(spark):
     items = tb.story_items(spark, "/root/testdata/sf0.001")
-    for r in views.nest_items(items, 3).collect():
+    items = items.unionByName(items.filter("item_id < 40").withColumn("cluster_id", F.lit("hot")).withColumn("ord", F.col("ord") + 1))
+    found = {}
+    for r in sorted(views.nest_items(items, 3).collect(), key=lambda r: (r["cluster_id"], r["page"])):
         ords = [i["ord"] for i in r["items"]]
         assert ords == sorted(ords) and 1 <= len(ords) <= 3
+        assert r["page"] * 3 == len(found.setdefault(r["cluster_id"], []))
+        found[r["cluster_id"]] += ords
+    want = {}
+    for r in items.select("cluster_id", "ord").orderBy("ord").collect():
+        want.setdefault(r["cluster_id"], []).append(r["ord"])
+    assert found == want
