@@ -20,8 +20,15 @@ AS_OF = "2024-01-31 00:00:00"
 AS_OF_SECONDS = EPOCH + SPAN_MINUTES * 60
 
 
+SCAN_PARTITIONS = "storyhub.scan.partitions"
+"""Session setting: deal the rows of every scan to so many tasks. For files with fewer row
+groups than cores; unset, as by default, splits follow `spark.sql.files.*` alone."""
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+    rows = spark.read.parquet(f"{path}/{name}.parquet")
+    wanted = spark.conf.get(SCAN_PARTITIONS, None) if isinstance(spark, SparkSession) else None
+    return rows.repartition(int(wanted)) if wanted else rows
 
 
 def _pick(key: Column, values) -> Column:
