@@ -204,10 +204,12 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Documents with every secret replaced by `mark`; n_chars follows the text.
-    Overlapping spans are replaced once. Null text stays null."""
+    Overlapping spans are replaced once. Null text stays null. All other columns
+    stay as they are, whatever their names."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.withColumn("was_null", F.col("text").isNull())
-    found = find_secrets(plain, keep=[*others, "was_null"])
+    own = [f"own_{k}" for k in range(len(others))]
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(others, own, strict=True)])
+    found = find_secrets(plain.withColumn("was_null", F.col("text").isNull()), keep=[*own, "was_null"])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -222,7 +224,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
     )
     text = F.when(F.col("was_null"), F.lit(None)).when(F.size("found") == 0, F.col("text")).otherwise(clean)
-    out = found.withColumn("text", text)
+    out = found.select("doc_id", text.alias("text"), *[F.col(k).alias(c) for c, k in zip(others, own, strict=True)])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

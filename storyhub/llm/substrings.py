@@ -405,9 +405,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFr
 def strip_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFrame:
     """The documents without their repeated words. A text that loses none stays
     as it is, any other is its kept words joined by one space; n_chars follows.
-    All rows and columns stay."""
+    All rows and columns stay, whatever the names of the others."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = _removed(docs.withColumn("whole", F.col("text")), window, levels, [*others, "whole"])
+    kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(others)]
+    plain = docs.select("doc_id", "text", *kept, F.col("text").alias("whole"))
+    found = _removed(plain, window, levels, [*[f"kept_{k}" for k in range(len(others))], "whole"])
     whole = F.col(f"own_{len(others)}")
     out = found.select(
         "doc_id",
@@ -416,4 +418,4 @@ def strip_repeats(docs: DataFrame, window: int = 50, levels: int = 1) -> DataFra
     )
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

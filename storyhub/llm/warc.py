@@ -199,7 +199,15 @@ def normalise(marked: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite every file with one gzip member per record and a sidecar
     `<file>.idx`; returns the same offsets as rows. A file is one group: its
     size is bounded by the writer and it is streamed, not held."""
-    return materialize(marked.groupBy("file").applyInArrow(_normaliser(source, target), INDEX))
+    return materialize(by_file(marked).groupBy("file").applyInArrow(_normaliser(source, target), INDEX))
+
+
+def by_file(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows dealt out by file to one task for each file (`most` tasks at most, with
+    several files each). The rows are few bytes beside the files they name, so
+    without a number Spark would put them all into one task."""
+    files = rows.select("file").distinct().count()
+    return rows.repartition(max(1, min(files, most)), "file")
 
 
 READ = """page_id long, url string, payload_bytes long, payload_digest string, record_type string,
@@ -243,7 +251,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(index: DataFrame) -> DataFrame:
     """Records of normalised archives by offset: payload (null for a revisit),
     its size and digest, record_type and refers_to."""
-    return index.select("file", "offset", "length").mapInArrow(_reader, READ)
+    ordered = by_file(index.select("file", "offset", "length")).sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(_reader, READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
