@@ -105,6 +105,46 @@ def test_carried_cluster_stream_keeps_ids_over_batches(spark, tmp_path):
     assert states[2] == {r["item_id"]: (r["cluster_id"], r["role"]) for r in want.collect()}
 
 
+def test_first_match_waits_for_its_band(spark, tmp_path):
+    """A hot title gives one row an aggregator item; a direct item that lands later but comes
+    first in load order wins; items whose band is still open are not answered."""
+    title = "the same long headline"
+    late = [("agg", 900, title, 600, 1)]
+    batches = [
+        [("agg", i, title, 0, 100 + i) for i in range(40)] + [("direct", 500, title, 10, 5), ("direct", 501, title, 10, 4)],
+        [("direct", 502, title, 30, 2), ("direct", 503, title, 61, 0), ("agg", 800, "another headline", 30, 7)],
+        late,
+    ]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(batches):
+        landed = tmp_path / "in" / f"{k}.json"
+        landed.write_text("\n".join(json.dumps(dict(kind=a, item_id=i, title=t, minute=m, ord=o)) for a, i, t, m, o in rows))
+        os.utime(landed, (1704067200 + k, 1704067200 + k))
+    stream = st.landed_files(spark, str(tmp_path / "in"), "kind string, item_id long, title string, minute long, ord long", "json", per_trigger=1)
+    stream = stream.withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("minute") * 60))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = st.first_match_stream(stream.filter("kind = 'direct'"), stream.filter("kind = 'agg'"), band_hours=1)
+        st.run_once(out, str(tmp_path / "ck"), path=str(tmp_path / "out"))
+    finally:
+        spark.conf.set(provider, before)
+    got = sorted((r["agg_item"], r["direct_item"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(i, 502) for i in range(40)]
+
+
+def test_scan_partitions_are_asked_for(spark):
+    plain = tb.table(spark, "/root/testdata/sf0.001", "documents")
+    spark.conf.set(tb.SCAN_PARTITIONS, "3")
+    try:
+        dealt = tb.table(spark, "/root/testdata/sf0.001", "documents")
+        assert dealt.rdd.getNumPartitions() == 3 and dealt.exceptAll(plain).count() == 0
+    finally:
+        spark.conf.unset(tb.SCAN_PARTITIONS)
+    assert tb.table(spark, "/root/testdata/sf0.001", "documents").rdd.getNumPartitions() == plain.rdd.getNumPartitions()
+
+
 def test_cache_files_log_and_truncate(spark, tmp_path):
     (tmp_path / "hubs.json").write_text(json.dumps([{"id": "a", "n": 1}, {"id": "b", "n": 2}]))
     assert sinks.read_json(spark, str(tmp_path / "hubs.json")).count() == 2
