@@ -663,6 +663,13 @@ def s1(spark, path):
     return _feed_out(out, "og_image")
 
 
+@query("S1_capped_feeds", _feed_sql("Untitled Article") + " WHERE feed_pos < 30")
+def s1capped(spark, path):
+    """With the cap of ingest: the first 30 items of each source."""
+    out = feeds.news_items(feed_payloads(spark, path).drop("feed_url").withColumnRenamed("item_id", "payload_pos"), AS_OF)
+    return _feed_out(out, "og_image")
+
+
 def _feed_out(out, *extra):
     doc = F.regexp_extract("url", r"c=(\d+)$", 1).cast("bigint")
     return seconds(out, "published_at").select(
@@ -717,6 +724,15 @@ def s2(spark, path):
     return _feed_out(out, "og_description")
 
 
+@query(
+    "S2_capped_communities",
+    f"WITH f AS ({_feed_sql('Civic Post', image=False)} WHERE feed_pos < 30) SELECT f.*, 'Reddit community discussion · ' || name AS og_description FROM f JOIN v_sources USING (source_id)",
+)
+def s2capped(spark, path):
+    out = feeds.community_items(feed_payloads(spark, path).drop("feed_url").withColumnRenamed("item_id", "payload_pos"), AS_OF)
+    return _feed_out(out, "og_description")
+
+
 @query(
     "S3_split_communities",
     """SELECT item_id, source_id, CASE WHEN item_id % 50 = 0 OR title = '' THEN 'Civic Post' ELSE title END AS title FROM v_feed WHERE source_id % 5 = 3""",

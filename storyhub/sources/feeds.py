@@ -85,7 +85,10 @@ def valid_items(items: DataFrame, min_title: int | None = None) -> DataFrame:
 
 
 def _capped(rows: DataFrame, cap: int | None) -> DataFrame:
-    return rows if cap is None else first_n(rows, "source_id", "feed_pos", cap)
+    """First `cap` items of each source. Where a source lands in several payloads, the
+    column `payload_pos` of the payloads orders them."""
+    order = [c for c in ("payload_pos", "feed_pos") if c in rows.columns]
+    return rows if cap is None else first_n(rows, "source_id", order, cap)
 
 
 def _image() -> Column:

@@ -280,3 +280,14 @@ def test_nested_items_are_ordered_and_paged(spark):
     for r in items.select("cluster_id", "ord").orderBy("ord").collect():
         want.setdefault(r["cluster_id"], []).append(r["ord"])
     assert found == want
+
+
+def test_cap_takes_the_first_payloads_of_a_source(spark):
+    from storyhub.sources import feeds
+
+    payload = "<rss><channel>{}</channel></rss>"
+    item = "<item><title>story number {0}</title><link>https://x.org/{0}</link></item>"
+    rows = [(k, 1, "s", "mainstream", payload.format(item.format(2 * k) + item.format(2 * k + 1))) for k in range(9)]
+    df = spark.createDataFrame(rows, "payload_pos long, source_id int, source_name string, lane string, payload string").repartition(5)
+    got = {r["url"] for r in feeds.news_items(df, "2024-01-10 00:00:00", cap=5).collect()}
+    assert got == {f"https://x.org/{k}" for k in range(5)}
