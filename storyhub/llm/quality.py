@@ -11,9 +11,11 @@ A text must not be judged by itself: its hash puts it into one of two halves, an
 it is scored under the model of the other half of its language. Copies share a
 half.
 
-Look-up. Texts are cut into parts of bounded size. A part names each of its word
-pairs once, Spark joins them with the counts of the other half, and the part gets
-back only what it asked for.
+Look-up. Texts are not copied but read again, in parts of bounded size. A part sends
+the hashes of its word pairs, each once, as sorted packed blocks, one for each
+range of hashes; a task merges a range and answers with counts in the order of
+the block. One part of those that hold a pair tallies it for its two words; words are
+merged and answered in the same way.
 
 Bands. The perplexity of a text is the mean negative log probability of its bytes
 under the model of its language. See `quality_verdicts` for the limits.
@@ -26,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyhub.llm import arrays
+from storyhub.llm import arrays, blocks
 from storyhub.session import materialize
 
 SLOTS = 64
@@ -151,13 +152,13 @@ def _order(grams: DataFrame, history) -> DataFrame:
     )
 
 
-def kneser_ney(docs: DataFrame) -> DataFrame:
-    """The model of all texts: slot, n (order), code, prob, back. `prob` is the
+def kneser_ney(docs: DataFrame, by_language: bool = True) -> DataFrame:
+    """The spelling model of all texts together, and by slot of languages if asked: slot, n (order), code, prob, back. `prob` is the
     smoothed probability of the last class after the ones before it; `back` the
     weight this n-gram, taken as a history, passes on to the shorter order."""
     counted = docs.select("text", "lang").mapInArrow(_count, "slot int, code int, n long")
     own = counted.groupBy("slot", "code").agg(F.sum("n").alias("n"))
-    every = F.explode(F.array("slot", F.lit(SLOTS))).alias("slot")
+    every = F.explode(F.array("slot", F.lit(SLOTS)) if by_language else F.array(F.lit(SLOTS))).alias("slot")
     tri = materialize(own.select(every, "code", "n").groupBy("slot", "code").agg(F.sum("n").alias("n")))
     bi = tri.groupBy("slot", (F.col("code") % (A * A)).alias("code")).agg(F.count("*").alias("n"))
     uni = bi.groupBy("slot", (F.col("code") % A).alias("code")).agg(F.count("*").alias("n"))
@@ -201,7 +202,7 @@ class SortedModel:
         col = lambda c, kind: rows[c].to_numpy().astype(kind)
         keys = _key(col("slot", np.int64), col("n", np.int64), col("code", np.int64))
         order = np.argsort(keys)
-        return keys[order], col("prob", np.float32)[order], col("back", np.float32)[order]
+        return keys[order], col("prob", np.float64)[order], col("back", np.float64)[order]
 
     def find(self, slot: int, n: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability (nan: unseen) and backoff weight (1: unseen) of n-grams."""
@@ -226,22 +227,20 @@ class SortedModel:
         return -np.log(np.maximum(p3, 1e-12))
 
 
-PART_BYTES = 16 << 20
-PARTS = "doc_id long, text string, lang string, part long"
-COUNTED = "part long, fold int, lang_key long, a long, b long, n long"
+PAIR_BITS = 56
+"""Width of the hash of a word pair. Two of 10 million million pairs that share one
+are counted together; that is one pair in 10,000."""
 PAIR_MIX = np.uint64(0xD6E8FEB86659FD93)
+RANGE_BYTES = 16 << 20
+"""Text bytes for each range of pair hashes; a range is merged by one task."""
 CLASS_SIZE = np.bincount(CLASS_OF, minlength=A)
-
-
-def _cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Name the part of every row; a part holds about PART_BYTES of text."""
-    base, number, size = TaskContext.get().partitionId() << 32, 0, 0
-    for piece in arrays.slices(batches):
-        _, at = arrays.text_bytes(piece.column("text"))
-        if size and size + at[-1] > PART_BYTES:
-            number, size = number + 1, 0
-        size += int(at[-1])
-        yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, base + number))], [*piece.schema.names, "part"])
+ASKED = "part long, slot int, keys binary, n0 binary, n1 binary"
+GIVEN = "part long, slot int, mark long, n0 binary, n1 binary, lead binary"
+TALLIED = "part long, lang_key long, slot int, words binary, tallies binary"
+TOLD = "part long, lang_key long, slot int, counts binary, model int, totals array<double>"
+TALLIES = ["total", "h1", "h2", "hm", "h3", "h4", "left"]
+COUNTS = ["total", "h1", "h2", "hm", "left"]
+PARAMS = ["d1", "d2", "d3", "e1", "e2", "e3", "all_left", "last_back"]
 
 
 def _word_keys(piece) -> tuple[np.ndarray, ...]:
@@ -257,51 +256,175 @@ def _word_keys(piece) -> tuple[np.ndarray, ...]:
     a[1:] = b[:-1]
     heads = word_at[:-1][word_at[:-1] < word_at[1:]]
     a[heads] = arrays.mix(lang[owner[heads]] + PAIR_MIX)
-    return data, at, starts, word_at, owner, fold, lang, a, b
+    return data, at, starts, ends, word_at, owner, fold, lang, a, b
 
 
-def _pair_key(fold: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return arrays.mix(arrays.mix(a) * PAIR_MIX + b * np.uint64(2) + fold.astype(np.uint64))
+class PartPairs:
+    """The word pairs of a part, each once, by ascending hash.
 
+    keys, n0, n1: hash of each pair and its counts in the halves; which: the pair of
+    each word of the part; a, b, lang: the words and the language of each pair.
+    """
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word pairs of each part, each once with its count, and the words (b is null)."""
-    held, part = [], None
-
-    def flush():
-        fold, lang, a, b, n = (np.concatenate(x) for x in zip(*held))
-        _, first, which = np.unique(_pair_key(fold, a, b), return_index=True, return_inverse=True)
-        n = np.bincount(which, n, len(first)).astype(np.int64)
-        fold, lang, a, b = fold[first], lang[first], a[first], b[first]
-        # Histories are the words and the start of a text.
-        words, folds, langs = np.concatenate((a, b)), np.tile(fold, 2), np.tile(lang, 2)
-        _, own = np.unique(_pair_key(folds, words, words), return_index=True)
-        for f, g, x, y, k in ((fold, lang, a, b, n), (folds[own], langs[own], words[own], None, np.zeros(len(own), np.int64))):
-            last = pa.array(y.view(np.int64)) if y is not None else pa.nulls(len(x), pa.int64())
-            columns = [pa.array(np.full(len(x), part)), pa.array(f), pa.array(g.view(np.int64)), pa.array(x.view(np.int64)), last, pa.array(k)]
-            whole = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COUNTED.split(", ")])
-            for at in range(0, len(x), 200_000):
-                yield whole.slice(at, 200_000)
+    def __init__(self, pieces: list[pa.RecordBatch]):
+        folds, langs, firsts, seconds = [], [], [], []
+        for piece in pieces:
+            *_, owner, fold, lang, a, b = _word_keys(piece)
+            folds.append(fold[owner])
+            langs.append(lang[owner])
+            firsts.append(a)
+            seconds.append(b)
+        fold, lang, a, b = (np.concatenate(x) for x in (folds, langs, firsts, seconds))
+        pair = arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> np.uint64(64 - PAIR_BITS)
+        self.keys, first, self.which = np.unique(pair, return_index=True, return_inverse=True)
+        whole = np.bincount(self.which, minlength=len(self.keys))
+        self.n1 = np.bincount(self.which[fold == 1], minlength=len(self.keys))
+        self.n0 = whole - self.n1
+        self.a, self.b, self.lang = a[first], b[first], lang[first]
+
+    def words(self) -> None:
+        """Adds the words by language and hash: word, word_lang, and the places of a
+        and b among them (at_a, at_b)."""
+        both, langs = np.concatenate((self.a, self.b)), np.tile(self.lang, 2)
+        word, first, at = np.unique(both, return_index=True, return_inverse=True)
+        order = np.lexsort((word, langs[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.word, self.word_lang = word[order], langs[first][order]
+        self.at_a, self.at_b = place[at[: len(self.a)]], place[at[len(self.a) :]]
+
+    def answers(self, path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of each pair in the halves of all texts, and whether this part is the
+        one of all that hold the pair in which it is tallied."""
+        told = blocks.read_part(path, part, ["slot", "mark", "n0", "n1", "lead"]).sort_by("slot")
+        n0, n1, lead = (np.concatenate([blocks.unpack(x.as_buffer().to_pybytes()) for x in told[c]]) for c in ("n0", "n1", "lead"))
+        marks = np.bitwise_xor.reduce(told["mark"].to_numpy().view(np.uint64))
+        if len(n0) != len(self.keys) or marks != np.bitwise_xor.reduce(self.keys):
+            raise RuntimeError(f"the input changed between two readings: part {part} holds other pairs")
+        return n0.astype(np.int64), n1.astype(np.int64), lead.astype(bool)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def _as_long(x) -> int:
+    return int(np.uint64(x).view(np.int64))
+
+
+def _ask_pairs(slots: int):
+    """Each part's pairs, sorted, one block for each range of hashes."""
+    edges = blocks.borders(slots, PAIR_BITS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pieces in blocks.parts(batches):
+            own = PartPairs(pieces)
+            cuts = np.append(np.searchsorted(own.keys, edges), len(own.keys))
+            rows = []
+            for k in range(slots):
+                here = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1] or not k:
+                    rows.append((part, k, blocks.pack_sorted(own.keys[here], edges[k]), blocks.pack(own.n0[here]), blocks.pack(own.n1[here])))
+            yield _rows(rows, ASKED)
+
+    return ask
+
+
+def _merge_pairs(slots: int):
+    """Counts of a range over all parts, told to each part in the order it asked."""
+    edges = blocks.borders(slots, PAIR_BITS)
+
+    def merge(table: pa.Table) -> pa.Table:
+        asked = table.sort_by("part").to_pylist()
+        keys = [blocks.unpack_sorted(r["keys"], edges[r["slot"]]) for r in asked]
+        at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        each, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        lead = np.zeros(at[-1], np.uint8)
+        lead[first] = 1
+        n0, n1 = (
+            np.bincount(which, np.concatenate([blocks.unpack(r[c]) for r in asked]), len(each)).astype(np.uint64) for c in ("n0", "n1")
+        )
+        rows = []
+        for k, r in enumerate(asked):
+            here = which[at[k] : at[k + 1]]
+            mark = _as_long(np.bitwise_xor.reduce(keys[k]))
+            rows.append((r["part"], r["slot"], mark, blocks.pack(n0[here]), blocks.pack(n1[here]), blocks.pack(lead[at[k] : at[k + 1]])))
+        return pa.Table.from_batches([_rows(rows, GIVEN)])
+
+    return merge
+
+
+def _spans(lang: np.ndarray, word: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+    """Language, range and place of each run of words of one language and range."""
+    slot = np.searchsorted(edges, word, side="right") - 1
+    cuts = np.flatnonzero((lang[1:] != lang[:-1]) | (slot[1:] != slot[:-1])) + 1 if len(word) else []
+    for start, end in zip([0, *cuts], [*cuts, len(word)]):
+        if start < end:
+            yield _as_long(lang[start]), int(slot[start]), slice(start, end)
+
+
+def _tally_words(path: str, slots: int):
+    """What the pairs tallied in a part say of their words, in both models, and all
+    words of the part, one block for each language and range of hashes."""
+    edges = blocks.borders(slots, 64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pieces in blocks.parts(batches):
+            own = PartPairs(pieces)
+            if not len(own.keys):
+                continue
+            own.words()
+            *counts, lead = own.answers(path, part)
+            size, tallies = len(own.word), []
+            for n in counts:
+                heads = lambda test: np.bincount(own.at_a[lead & test], minlength=size)
+                tallies.append(np.bincount(own.at_a[lead], n[lead], size).astype(np.int64))
+                tallies += [heads(n == 1), heads(n == 2), heads(n >= 3), heads(n == 3), heads(n == 4)]
+                tallies.append(np.bincount(own.at_b[lead & (n > 0)], minlength=size))
+            both = np.array(tallies)
+            yield _rows(
+                [
+                    (part, lang, k, blocks.pack_sorted(own.word[here], edges[k]), blocks.pack(both[:, here].ravel()))
+                    for lang, k, here in _spans(own.word_lang, own.word, edges)
+                ],
+                TALLIED,
+            )
 
-    for piece in arrays.slices(batches):
-        parts = piece.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]
-        for start, end in zip(cuts, cuts[1:]):
-            if held and parts[start] != part:
-                yield from flush()
-                held = []
-            part = parts[start]
-            *_, owner, fold, lang, a, b = _word_keys(piece.slice(start, end - start))
-            _, first, n = np.unique(_pair_key(fold[owner], a, b), return_index=True, return_counts=True)
-            held.append((fold[owner][first], lang[owner][first], a[first], b[first], n))
-    if held:
-        yield from flush()
-
-
-def _tally(n: str, out: str) -> list:
-    """How many values are 1, 2, 3 or more, 3 and 4."""
-    tests = {"1": f"{n} = 1", "2": f"{n} = 2", "m": f"{n} >= 3", "3": f"{n} = 3", "4": f"{n} = 4"}
-    return [F.expr(f"count_if({test})").cast("double").alias(f"{out}{k}") for k, test in tests.items()]
+    return tally
+
+
+def _merge_words(slots: int):
+    """Tallies of a range of words over all parts, told to each part in the order it
+    asked; and the sums for each language and model that discounts are made of."""
+    edges, wide = blocks.borders(slots, 64), len(TALLIES)
+
+    def merge(table: pa.Table) -> pa.Table:
+        asked = table.select(["part", "lang_key", "slot", "words", "tallies"]).to_pylist()
+        keys = [blocks.unpack_sorted(r["words"], edges[r["slot"]]) for r in asked]
+        at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+        _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = np.zeros((2 * wide, len(first)), np.int64)
+        for k, r in enumerate(asked):
+            # A word comes once in a block.
+            sums[:, which[at[k] : at[k + 1]]] += blocks.unpack(r["tallies"]).astype(np.int64).reshape(2 * wide, -1)
+        told = [m * wide + TALLIES.index(c) for m in (0, 1) for c in COUNTS]
+        rows = [
+            (r["part"], r["lang_key"], r["slot"], blocks.pack(sums[told][:, which[at[k] : at[k + 1]]].ravel()), None, None)
+            for k, r in enumerate(asked)
+        ]
+        langs, group = np.unique(np.repeat([r["lang_key"] for r in asked], np.diff(at))[first], return_inverse=True)
+        for model in (0, 1):
+            own = dict(zip(TALLIES, sums[model * wide : (model + 1) * wide]))
+            left = own["left"]
+            seen = [left, left == 1, left == 2, left >= 3, left == 3, left == 4, *(own[f"h{k}"] for k in "1234")]
+            totals = np.array([np.bincount(group, x.astype(np.float64), len(langs)) for x in seen])
+            rows += [(None, int(lang), None, None, model, totals[:, g].tolist()) for g, lang in enumerate(langs)]
+        return pa.Table.from_batches([_rows(rows, TOLD)])
+
+    return merge
 
 
 def _discount(c: str) -> list[str]:
@@ -313,57 +436,32 @@ def _discount(c: str) -> list[str]:
     return [f"if({ok}, {x}, {k * 0.5}D)" for k, x in enumerate(own, 1)]
 
 
-def word_model(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, words) of the counted parts.
+def word_model(docs: DataFrame, ranges: int) -> tuple[str, str]:
+    """Paths of the model as each part of docs asks for it: the counts of its pairs,
+    and those of its words with the discounts of their language (d of pairs, e of left
+    neighbours), for the models of both halves.
 
-    pairs: one row per part, half and word pair: n0 and n1, its counts in the
-    halves, and `lead`, true for one row of each pair. words: for each word and
-    half whose model holds it, the total and backoff weight as a history (total 0: never one), the
-    share of left neighbours, and the discounts and last backoff of its language.
+    docs must give the same splits at every reading; that is checked by part.
     """
-    same = Window.partitionBy("a", "b")
-    half = lambda f: F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).over(same).alias(f"n{f}")
-    first = (F.row_number().over(same.orderBy("part", "fold")) == 1).alias("lead")
-    pairs = materialize(counted.filter("b is not null").select("part", "fold", "lang_key", "a", "b", half(0), half(1), first))
-    each = pairs.filter("lead").select("lang_key", "a", "b", F.explode(F.expr("array(struct(0 as model, n0 as n), struct(1 as model, n1 as n))")).alias("x"))
-    each = each.select("lang_key", "a", "b", "x.model", "x.n").filter("n > 0")
-    heads = each.groupBy("lang_key", "model", F.col("a").alias("word")).agg(F.sum("n").alias("total"), *_tally("n", "h"))
-    tails = each.groupBy("lang_key", "model", F.col("b").alias("word")).agg(F.count("*").alias("left"))
-    keys = ["lang_key", "model", "word"]
-    lexicon = materialize(heads.join(tails, keys, "full").na.fill(0))
-    by_lang = lexicon.groupBy("lang_key", "model").agg(
-        F.sum("left").alias("all_left"), *_tally("left", "u"), *[F.sum(f"h{k}").alias(f"c{k}") for k in "1234"]
+    few = -(-ranges // 16)
+    asked = docs.mapInArrow(_ask_pairs(ranges), ASKED)
+    pairs = blocks.store_by_part(asked.groupBy("slot").applyInArrow(_merge_pairs(ranges), GIVEN))
+    tallied = docs.mapInArrow(_tally_words(pairs, few), TALLIED)
+    told = materialize(tallied.groupBy("slot").applyInArrow(_merge_words(few), TOLD))
+    names = ["all_left", "u1", "u2", "um", "u3", "u4", "c1", "c2", "c3", "c4"]
+    sums = told.filter("part is null").groupBy("lang_key", "model").agg(
+        *[F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(names)]
     )
     d, e = _discount("c"), _discount("u")
-    by_lang = by_lang.select(
-        "lang_key", "model", "all_left",
+    sums = sums.select(
+        "lang_key", "model", "all_left", "u1", "u2", "um",
         *[F.expr(x).alias(f"d{k}") for k, x in enumerate(d, 1)], *[F.expr(x).alias(f"e{k}") for k, x in enumerate(e, 1)],
-        "u1", "u2", "um",
-    ).withColumn("last_back", F.expr("(e1 * u1 + e2 * u2 + e3 * um) / all_left"))
-    words = lexicon.join(by_lang, ["lang_key", "model"]).select(
-        "model", "word", F.col("total").cast("double").alias("total"),
-        F.expr("if(total > 0, (d1 * h1 + d2 * h2 + d3 * hm) / total, 1D)").alias("back"),
-        F.expr("if(left > 0, (left - case left when 1 then e1 when 2 then e2 else e3 end) / all_left, 0D)").alias("share"),
-        "d1", "d2", "d3", "last_back",
-    )
-    return pairs, words
-
-
-ANSWERS = ["total", "back", "share", "d1", "d2", "d3", "last_back"]
-
-
-def _answers(counted: DataFrame) -> DataFrame:
-    """What each part asks for: its pairs with their count in the other half, its
-    words with their row of the model."""
-    pairs, words = word_model(counted)
-    other = F.when(F.col("fold") == 0, F.col("n1")).otherwise(F.col("n0")).alias("n")
-    none = [F.lit(None).cast("double").alias(c) for c in ANSWERS]
-    found = pairs.select("part", "fold", "a", "b", other, *none).filter("n > 0")
-    asked = counted.filter("b is null").select("part", "fold", F.col("a").alias("word"), (1 - F.col("fold")).alias("model"))
-    told = asked.join(words, ["model", "word"]).select(
-        "part", "fold", F.col("word").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), *ANSWERS
+    ).withColumn("last_back", F.expr("if(all_left > 0, (e1 * u1 + e2 * u2 + e3 * um) / all_left, 1D)"))
+    by_lang = sums.groupBy("lang_key").agg(
+        *[F.max(F.when(F.col("model") == m, F.array(*PARAMS))).alias(f"params{m}") for m in (0, 1)]
     )
-    return found.unionByName(told)
+    words = told.filter("part is not null").select("part", "lang_key", "slot", "counts").join(by_lang, "lang_key")
+    return pairs, blocks.store_by_part(words)
 
 
 SCORED = """doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,
@@ -401,72 +499,71 @@ def _repeat_words(words: np.ndarray, word_at: np.ndarray, size: int = 8) -> np.n
 
 
 class PartModel:
-    """The rows of the model that one part asked for, as sorted arrays."""
-
-    def __init__(self, told: pa.Table):
-        col = lambda c, kind: told[c].to_numpy().astype(kind)
-        fold, a = col("fold", np.int32), col("a", np.int64).view(np.uint64)
-        pair = told["b"].is_valid().to_numpy()
-        b = told["b"].fill_null(0).to_numpy().astype(np.int64).view(np.uint64)
-        keys = _pair_key(fold[pair], a[pair], b[pair])
-        order = np.argsort(keys)
-        self.pairs, self.n = keys[order], col("n", np.float64)[pair][order]
-        keys = _pair_key(fold[~pair], a[~pair], a[~pair])
-        order = np.argsort(keys)
-        self.words = keys[order]
-        self.values = {c: col(c, np.float64)[~pair][order] for c in ANSWERS}
-
-    @staticmethod
-    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
-
-    def last_back(self, fold: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Weight of the spelling per text. The start of a text is a word of every
-        language that has texts in the other half; 1 for one that has none."""
-        start = arrays.mix(lang + PAIR_MIX)
-        at, hit = self._find(self.words, _pair_key(fold, start, start))
-        return np.where(hit, self.values["last_back"][at], 1.0) if len(self.words) else np.ones(len(at))
-
-    def loss(self, fold: np.ndarray, a: np.ndarray, b: np.ndarray, spelled: np.ndarray, last_back: np.ndarray) -> np.ndarray:
-        """Negative log probability of words b after a; `spelled` is that of their spelling."""
-
-        def value(name, at, hit, default):
-            return np.where(hit, self.values[name][at], default) if len(self.words) else np.full(len(at), default)
-
-        history, word = self._find(self.words, _pair_key(fold, a, a)), self._find(self.words, _pair_key(fold, b, b))
-        at, hit = self._find(self.pairs, _pair_key(fold, a, b))
-        n = np.where(hit, self.n[at], 0.0) if len(self.pairs) else np.zeros(len(at))
-        cut = np.where(n == 1, value("d1", *history, 0.0), np.where(n == 2, value("d2", *history, 0.0), value("d3", *history, 0.0)))
-        own = np.where(n > 0, (n - cut) / np.maximum(value("total", *history, 1.0), 1.0), 0.0)
-        back = value("back", *history, 1.0)
-        with np.errstate(divide="ignore"):
-            return -np.logaddexp(np.log(own + back * value("share", *word, 0.0)), np.log(back * last_back) - spelled)
-
-
-def _scorer(shared):
-    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        model = PartModel(told)
+    """The model for the words of one part, as sorted arrays."""
+
+    def __init__(self, own: PartPairs, part: int, pairs: str, words: str):
+        own.words()
+        n0, n1, _ = own.answers(pairs, part)
+        self.own, self.n = own, (n0, n1)
+        told = blocks.read_part(words, part, ["lang_key", "slot", "counts", "params0", "params1"]).to_pylist()
+        told.sort(key=lambda r: (np.int64(r["lang_key"]).view(np.uint64), r["slot"]))
+        counts = np.concatenate([blocks.unpack(r["counts"]).astype(np.float64).reshape(2 * len(COUNTS), -1) for r in told], axis=1)
+        if counts.shape[1] != len(own.word):
+            raise RuntimeError(f"the input changed between two readings: part {part} holds other words")
+        wide = len(COUNTS)
+        self.counts = [dict(zip(COUNTS, counts[m * wide : (m + 1) * wide])) for m in (0, 1)]
+        self.params = {r["lang_key"]: (r["params0"], r["params1"]) for r in told}
+
+    def loss(self, which: np.ndarray, fold: np.ndarray, lang: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Negative log probability of words, given by their pairs, under the model of the
+        half their text is not in; `spelled` is that of their spelling."""
+        out = np.empty(len(which))
+        each, group = np.unique(lang, return_inverse=True)
+        for model in (0, 1):
+            here = fold == 1 - model
+            if not here.any():
+                continue
+            table = np.array([self.params[_as_long(x)][model] for x in each])
+            p = dict(zip(PARAMS, table[group[here]].T))
+            pair = which[here]
+            n, counts = self.n[model][pair].astype(np.float64), self.counts[model]
+            history = {c: counts[c][self.own.at_a[pair]] for c in ("total", "h1", "h2", "hm")}
+            left = counts["left"][self.own.at_b[pair]]
+            cut = np.where(n == 1, p["d1"], np.where(n == 2, p["d2"], p["d3"]))
+            total = np.maximum(history["total"], 1.0)
+            own = np.where(n > 0, (n - cut) / total, 0.0)
+            back = np.where(history["total"] > 0, (p["d1"] * history["h1"] + p["d2"] * history["h2"] + p["d3"] * history["hm"]) / total, 1.0)
+            taken = np.where(left == 1, p["e1"], np.where(left == 2, p["e2"], p["e3"]))
+            share = np.where(left > 0, (left - taken) / np.maximum(p["all_left"], 1.0), 0.0)
+            with np.errstate(divide="ignore"):
+                out[here] = -np.logaddexp(np.log(own + back * share), np.log(back * p["last_back"]) - spelled[here])
+        return out
+
+
+def _scorer(shared, pairs: str, told: str):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = SortedModel(*shared.value).surprise(SLOTS)
-        out = []
-        for piece in arrays.slices(texts.to_batches()):
-            data, at, starts, word_at, owner, fold, lang, a, b = _word_keys(piece)
-            _, ends, _ = arrays.find_words(data, at)
-            words = arrays.word_hashes(data, starts, ends)
-            letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
-            loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)] + np.log(CLASS_SIZE[CLASS_OF[data]]))))
-            # A word is spelled with the white space after it; white space before the first word counts by itself.
-            stops = np.append(starts[1:], len(data))
-            full = np.flatnonzero(word_at[:-1] < word_at[1:])
-            stops[word_at[full + 1] - 1] = at[full + 1]
-            each = model.loss(fold[owner], a, b, loss[stops] - loss[starts], model.last_back(fold, lang)[owner])
-            total = loss[at[1:]] - loss[at[:-1]]
-            total[full] = loss[starts[word_at[full]]] - loss[at[full]] + arrays.per_text(each, word_at)[full]
-            sizes = np.diff(at)
-            out.append(
-                pa.RecordBatch.from_arrays(
+        for part, pieces in blocks.parts(batches):
+            own = PartPairs(pieces)
+            model = PartModel(own, part, pairs, told) if len(own.keys) else None
+            done = 0
+            for piece in pieces:
+                data, at, starts, ends, word_at, owner, fold, lang, _, _ = _word_keys(piece)
+                words = arrays.word_hashes(data, starts, ends)
+                letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
+                loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)] + np.log(CLASS_SIZE[CLASS_OF[data]]))))
+                # A word is spelled with the white space after it; white space before the first word counts by itself.
+                stops = np.append(starts[1:], len(data))
+                full = np.flatnonzero(word_at[:-1] < word_at[1:])
+                stops[word_at[full + 1] - 1] = at[full + 1]
+                total = loss[at[1:]] - loss[at[:-1]]
+                if len(starts):
+                    which = own.which[done : done + len(starts)]
+                    each = model.loss(which, fold[owner], lang[owner], loss[stops] - loss[starts])
+                    total[full] = loss[starts[word_at[full]]] - loss[at[full]] + arrays.per_text(each, word_at)[full]
+                    done += len(starts)
+                sizes = np.diff(at)
+                yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
                         piece.column("lang"),
@@ -479,8 +576,6 @@ def _scorer(shared):
                     ],
                     [f.split()[0] for f in SCORED.replace("\n", " ").split(", ")],
                 )
-            )
-        return pa.Table.from_batches(out)
 
     return score
 
@@ -505,12 +600,12 @@ def quality_verdicts(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    docs = materialize(docs.mapInArrow(_cut_parts, PARTS))
-    spelling = kneser_ney(docs).filter(F.col("slot") == SLOTS)
+    docs = blocks.repeatable(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spelling = kneser_ney(docs, by_language=False)
     shared = spark.sparkContext.broadcast(SortedModel.arrays_of(spelling.toArrow()))
-    counted = materialize(docs.select("text", "lang", "part").mapInArrow(_count_pairs, COUNTED))
-    asked = docs.groupBy("part").cogroup(_answers(counted).groupBy("part"))
-    scored = materialize(asked.applyInArrow(_scorer(shared), SCORED)).withColumn(
+    pairs, words = word_model(docs, -(-size // RANGE_BYTES) or 1)
+    scored = materialize(docs.mapInArrow(_scorer(shared, pairs, words), SCORED)).withColumn(
         "base_failed", F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > 30 * n_words")
     )
     bands = (

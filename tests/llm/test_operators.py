@@ -170,31 +170,38 @@ def test_quality_rejects_shuffled_words(spark):
 
 
 def test_quality_model_counts_every_pair_per_language(spark):
-    """The model holds each pair of words once per language name, with its counts in
-    both halves; names of one crc32 slot do not share it."""
-    from storyhub.llm import quality
+    """Each pair of words is counted once per language name, in both halves; names of
+    one crc32 slot do not share it."""
+    import pyarrow as pa
+
+    from storyhub.llm import blocks, quality
 
     names = ["en"] + [f"x{k}" for k in range(400) if quality.slot_of(f"x{k}") == quality.slot_of("en")][:2]
     texts = [(k, " ".join(f"{'abcdefgh'[(k + j * j) % 8]}{j % 3}" for j in range(30 + k)), names[k % 3]) for k in range(12)]
-    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
-    counted = df.mapInArrow(quality._cut_parts, quality.PARTS).mapInArrow(quality._count_pairs, quality.COUNTED)
-    pairs, words = quality.word_model(counted)
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1)
+    pairs, words = quality.word_model(df, 4)
+    own = quality.PartPairs(pa.Table.from_pandas(df.toPandas()).to_batches())
+    n0, n1, lead = own.answers(pairs, 0)
     want = defaultdict(int)
     for _, t, lang in texts:
         w = ["<start>", *t.split(" ")]
         for pair in zip(w, w[1:]):
             want[(lang, *pair)] += 1
-    got = [r["n0"] + r["n1"] for r in pairs.filter("lead").collect()]
-    assert sorted(got) == sorted(want.values())
+    assert lead.all() and sorted(n0 + n1) == sorted(want.values())
+    assert (n0 == own.n0).all() and (n1 == own.n1).all()
     # Each history's shares and its backoff weight add up to one.
-    d = {(r["model"], r["word"]): r for r in words.collect()}
-    sums = defaultdict(float)
-    for r in pairs.filter("lead").collect():
-        for f in (0, 1):
-            if n := r[f"n{f}"]:
-                h = d[f, r["a"]]
-                sums[f, r["a"]] += (n - h[f"d{min(n, 3)}"]) / h["total"]
-    assert sums and all(abs(x + d[k]["back"] - 1) < 1e-9 for k, x in sums.items())
+    model = quality.PartModel(own, 0, pairs, words)
+    for f in (0, 1):
+        sums = defaultdict(float)
+        for k in np.flatnonzero(model.n[f]):
+            d = dict(zip(quality.PARAMS, model.params[quality._as_long(own.lang[k])][f]))
+            n, h = model.n[f][k], {c: x[own.at_a[k]] for c, x in model.counts[f].items()}
+            sums[own.at_a[k]] += (n - d[f"d{min(n, 3)}"]) / h["total"]
+        back = lambda p, h: (p[0] * h["h1"] + p[1] * h["h2"] + p[2] * h["hm"]) / h["total"]
+        for k, x in sums.items():
+            p = model.params[quality._as_long(own.word_lang[k])][f]
+            assert abs(x + back(p, {c: y[k] for c, y in model.counts[f].items()}) - 1) < 1e-9
+        assert sums
 
 
 def test_quality_shares_of_labels(spark):
