@@ -49,6 +49,18 @@ def unpack_sorted(block: bytes, base: int = 0) -> np.ndarray:
     return np.cumsum(unpack(block), dtype=np.uint64) + np.uint64(base)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in ascending order, a place of each in keys, and the key of
+    each place; in little memory, so which of several equal places is taken is open."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], order[new], which
+
+
 def borders(slots: int, bits: int) -> np.ndarray:
     """First value of each of so many even ranges of numbers of that many bits."""
     return np.array([(k << bits) // slots for k in range(slots)], np.uint64)

@@ -266,27 +266,35 @@ class PartPairs:
     each word of the part; a, b, lang: the words and the language of each pair.
     """
 
-    def __init__(self, pieces: list[pa.RecordBatch]):
-        folds, langs, firsts, seconds = [], [], [], []
+    def __init__(self, pieces: list[pa.RecordBatch], with_words: bool = True):
+        pairs, odd, firsts = [], [], []
         for piece in pieces:
             *_, owner, fold, lang, a, b = _word_keys(piece)
-            folds.append(fold[owner])
-            langs.append(lang[owner])
-            firsts.append(a)
-            seconds.append(b)
-        fold, lang, a, b = (np.concatenate(x) for x in (folds, langs, firsts, seconds))
-        pair = arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> np.uint64(64 - PAIR_BITS)
-        self.keys, first, self.which = np.unique(pair, return_index=True, return_inverse=True)
+            pairs.append(arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> np.uint64(64 - PAIR_BITS))
+            odd.append(fold[owner] == 1)
+            if with_words:
+                # Pairs are named once for each slice, then once for the part.
+                _, first, _ = blocks.distinct(pairs[-1])
+                firsts.append((pairs[-1][first], a[first], b[first], lang[owner[first]]))
+        pairs, odd = np.concatenate(pairs), np.concatenate(odd)
+        self.keys, _, self.which = blocks.distinct(pairs)
+        del pairs
         whole = np.bincount(self.which, minlength=len(self.keys))
-        self.n1 = np.bincount(self.which[fold == 1], minlength=len(self.keys))
+        self.n1 = np.bincount(self.which[odd], minlength=len(self.keys))
         self.n0 = whole - self.n1
-        self.a, self.b, self.lang = a[first], b[first], lang[first]
+        if with_words:
+            size = len(self.keys)
+            self.a, self.b, self.lang = (np.empty(size, np.uint64) for _ in range(3))
+            for keys, *columns in firsts:
+                at = np.searchsorted(self.keys, keys)
+                for target, column in zip((self.a, self.b, self.lang), columns):
+                    target[at] = column
 
     def words(self) -> None:
         """Adds the words by language and hash: word, word_lang, and the places of a
         and b among them (at_a, at_b)."""
         both, langs = np.concatenate((self.a, self.b)), np.tile(self.lang, 2)
-        word, first, at = np.unique(both, return_index=True, return_inverse=True)
+        word, first, at = blocks.distinct(both)
         order = np.lexsort((word, langs[first]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -321,7 +329,7 @@ def _ask_pairs(slots: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces)
+            own = PartPairs(pieces, with_words=False)
             cuts = np.append(np.searchsorted(own.keys, edges), len(own.keys))
             rows = []
             for k in range(slots):
@@ -341,7 +349,7 @@ def _merge_pairs(slots: int):
         asked = table.sort_by("part").to_pylist()
         keys = [blocks.unpack_sorted(r["keys"], edges[r["slot"]]) for r in asked]
         at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        each, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        each, first, which = blocks.distinct(np.concatenate(keys))
         lead = np.zeros(at[-1], np.uint8)
         lead[first] = 1
         n0, n1 = (
@@ -405,7 +413,7 @@ def _merge_words(slots: int):
         asked = table.select(["part", "lang_key", "slot", "words", "tallies"]).to_pylist()
         keys = [blocks.unpack_sorted(r["words"], edges[r["slot"]]) for r in asked]
         at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-        _, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        _, first, which = blocks.distinct(np.concatenate(keys))
         sums = np.zeros((2 * wide, len(first)), np.int64)
         for k, r in enumerate(asked):
             # A word comes once in a block.
