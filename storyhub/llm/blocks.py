@@ -20,7 +20,7 @@ from storyhub.llm import arrays
 from storyhub.llm.warc import open_folder
 from storyhub.session import materialize, scratch_path
 
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -49,6 +49,16 @@ def unpack_sorted(block: bytes, base: int = 0) -> np.ndarray:
     return np.cumsum(unpack(block), dtype=np.uint64) + np.uint64(base)
 
 
+def pack_bits(marks: np.ndarray) -> bytes:
+    return len(marks).to_bytes(8, "little") + pa.compress(np.packbits(marks).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_bits(block: bytes) -> np.ndarray:
+    n = int.from_bytes(block[:8], "little")
+    bits = pa.decompress(block[8:], decompressed_size=-(-n // 8), codec="zstd", asbytes=True)
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in ascending order, a place of each in keys, and the key of
     each place; in little memory, so which of several equal places is taken is open."""

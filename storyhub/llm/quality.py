@@ -227,14 +227,11 @@ class SortedModel:
         return -np.log(np.maximum(p3, 1e-12))
 
 
-PAIR_BITS = 56
-"""Width of the hash of a word pair. Two of 10 million million pairs that share one
-are counted together; that is one pair in 10,000."""
 PAIR_MIX = np.uint64(0xD6E8FEB86659FD93)
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 """Text bytes for each range of pair hashes; a range is merged by one task."""
 CLASS_SIZE = np.bincount(CLASS_OF, minlength=A)
-ASKED = "part long, slot int, keys binary, n0 binary, n1 binary"
+ASKED = "part long, slot int, keys binary, n binary, odd binary, n1 binary"
 GIVEN = "part long, slot int, mark long, n0 binary, n1 binary, lead binary"
 TALLIED = "part long, lang_key long, slot int, words binary, tallies binary"
 TOLD = "part long, lang_key long, slot int, counts binary, model int, totals array<double>"
@@ -243,6 +240,12 @@ COUNTS = ["total", "h1", "h2", "hm", "left"]
 PARAMS = ["d1", "d2", "d3", "e1", "e2", "e3", "all_left", "last_back"]
 
 
+def key_bits(size: int) -> int:
+    """Width of the hashes of words and pairs: at least 48, and so wide that among the
+    pairs of so many bytes of text at most one in 8,000 shares its hash with another."""
+    return min(64, max(48, (size // 2).bit_length() + 13))
+
+
 def _word_keys(piece) -> tuple[np.ndarray, ...]:
     """Half and language of each text; first byte, key and key of the word before for each word."""
     data, at = arrays.text_bytes(piece.column("text"))
@@ -266,16 +269,17 @@ class PartPairs:
     each word of the part; a, b, lang: the words and the language of each pair.
     """
 
-    def __init__(self, pieces: list[pa.RecordBatch], with_words: bool = True):
+    def __init__(self, pieces: list[pa.RecordBatch], bits: int, with_words: bool = True):
+        cut = np.uint64(64 - bits)
         pairs, odd, firsts = [], [], []
         for piece in pieces:
             *_, owner, fold, lang, a, b = _word_keys(piece)
-            pairs.append(arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> np.uint64(64 - PAIR_BITS))
+            pairs.append(arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> cut)
             odd.append(fold[owner] == 1)
             if with_words:
                 # Pairs are named once for each slice, then once for the part.
                 _, first, _ = blocks.distinct(pairs[-1])
-                firsts.append((pairs[-1][first], a[first], b[first], lang[owner[first]]))
+                firsts.append((pairs[-1][first], a[first] >> cut, b[first] >> cut, lang[owner[first]]))
         pairs, odd = np.concatenate(pairs), np.concatenate(odd)
         self.keys, _, self.which = blocks.distinct(pairs)
         del pairs
@@ -303,13 +307,15 @@ class PartPairs:
 
     def answers(self, path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of each pair in the halves of all texts, and whether this part is the
-        one of all that hold the pair in which it is tallied."""
+        one of all that hold the pair in which it is tallied. Of a pair tallied elsewhere
+        only the counts that texts of the part are scored by are whole."""
         told = blocks.read_part(path, part, ["slot", "mark", "n0", "n1", "lead"]).sort_by("slot")
-        n0, n1, lead = (np.concatenate([blocks.unpack(x.as_buffer().to_pybytes()) for x in told[c]]) for c in ("n0", "n1", "lead"))
+        more0, more1 = (np.concatenate([blocks.unpack(x) for x in told[c].to_pylist()]).astype(np.int64) for c in ("n0", "n1"))
+        lead = np.concatenate([blocks.unpack_bits(x) for x in told["lead"].to_pylist()])
         marks = np.bitwise_xor.reduce(told["mark"].to_numpy().view(np.uint64))
-        if len(n0) != len(self.keys) or marks != np.bitwise_xor.reduce(self.keys):
+        if len(lead) != len(self.keys) or marks != np.bitwise_xor.reduce(self.keys):
             raise RuntimeError(f"the input changed between two readings: part {part} holds other pairs")
-        return n0.astype(np.int64), n1.astype(np.int64), lead.astype(bool)
+        return self.n0 + more0, self.n1 + more1, lead
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -323,43 +329,47 @@ def _as_long(x) -> int:
     return int(np.uint64(x).view(np.int64))
 
 
-def _ask_pairs(slots: int):
+def _ask_pairs(slots: int, bits: int):
     """Each part's pairs, sorted, one block for each range of hashes."""
-    edges = blocks.borders(slots, PAIR_BITS)
+    edges = blocks.borders(slots, bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces, with_words=False)
+            own = PartPairs(pieces, bits, with_words=False)
             cuts = np.append(np.searchsorted(own.keys, edges), len(own.keys))
             rows = []
             for k in range(slots):
                 here = slice(cuts[k], cuts[k + 1])
                 if cuts[k] < cuts[k + 1] or not k:
-                    rows.append((part, k, blocks.pack_sorted(own.keys[here], edges[k]), blocks.pack(own.n0[here]), blocks.pack(own.n1[here])))
+                    n1 = own.n1[here]
+                    counts = blocks.pack(own.n0[here] + n1 - 1), blocks.pack_bits(n1 & 1), blocks.pack(n1 >> 1)
+                    rows.append((part, k, blocks.pack_sorted(own.keys[here], edges[k]), *counts))
             yield _rows(rows, ASKED)
 
     return ask
 
 
-def _merge_pairs(slots: int):
+def _merge_pairs(slots: int, bits: int):
     """Counts of a range over all parts, told to each part in the order it asked."""
-    edges = blocks.borders(slots, PAIR_BITS)
+    edges = blocks.borders(slots, bits)
 
     def merge(table: pa.Table) -> pa.Table:
         asked = table.sort_by("part").to_pylist()
         keys = [blocks.unpack_sorted(r["keys"], edges[r["slot"]]) for r in asked]
         at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
         each, first, which = blocks.distinct(np.concatenate(keys))
-        lead = np.zeros(at[-1], np.uint8)
-        lead[first] = 1
-        n0, n1 = (
-            np.bincount(which, np.concatenate([blocks.unpack(r[c]) for r in asked]), len(each)).astype(np.uint64) for c in ("n0", "n1")
-        )
+        lead = np.zeros(at[-1], bool)
+        lead[first] = True
+        n1 = np.concatenate([2 * blocks.unpack(r["n1"]).astype(np.int64) + blocks.unpack_bits(r["odd"]) for r in asked])
+        n0 = np.concatenate([blocks.unpack(r["n"]).astype(np.int64) + 1 for r in asked]) - n1
+        # A part knows its own counts and needs those of the other half, and both where it tallies.
+        more0 = np.where(lead | (n1 > 0), np.bincount(which, n0, len(each)).astype(np.int64)[which] - n0, 0)
+        more1 = np.where(lead | (n0 > 0), np.bincount(which, n1, len(each)).astype(np.int64)[which] - n1, 0)
         rows = []
         for k, r in enumerate(asked):
-            here = which[at[k] : at[k + 1]]
+            here = slice(at[k], at[k + 1])
             mark = _as_long(np.bitwise_xor.reduce(keys[k]))
-            rows.append((r["part"], r["slot"], mark, blocks.pack(n0[here]), blocks.pack(n1[here]), blocks.pack(lead[at[k] : at[k + 1]])))
+            rows.append((r["part"], r["slot"], mark, blocks.pack(more0[here]), blocks.pack(more1[here]), blocks.pack_bits(lead[here])))
         return pa.Table.from_batches([_rows(rows, GIVEN)])
 
     return merge
@@ -374,14 +384,14 @@ def _spans(lang: np.ndarray, word: np.ndarray, edges: np.ndarray) -> Iterator[tu
             yield _as_long(lang[start]), int(slot[start]), slice(start, end)
 
 
-def _tally_words(path: str, slots: int):
+def _tally_words(path: str, slots: int, bits: int):
     """What the pairs tallied in a part say of their words, in both models, and all
     words of the part, one block for each language and range of hashes."""
-    edges = blocks.borders(slots, 64)
+    edges = blocks.borders(slots, bits)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces)
+            own = PartPairs(pieces, bits)
             if not len(own.keys):
                 continue
             own.words()
@@ -404,10 +414,10 @@ def _tally_words(path: str, slots: int):
     return tally
 
 
-def _merge_words(slots: int):
+def _merge_words(slots: int, bits: int):
     """Tallies of a range of words over all parts, told to each part in the order it
     asked; and the sums for each language and model that discounts are made of."""
-    edges, wide = blocks.borders(slots, 64), len(TALLIES)
+    edges, wide = blocks.borders(slots, bits), len(TALLIES)
 
     def merge(table: pa.Table) -> pa.Table:
         asked = table.select(["part", "lang_key", "slot", "words", "tallies"]).to_pylist()
@@ -444,7 +454,7 @@ def _discount(c: str) -> list[str]:
     return [f"if({ok}, {x}, {k * 0.5}D)" for k, x in enumerate(own, 1)]
 
 
-def word_model(docs: DataFrame, ranges: int) -> tuple[str, str]:
+def word_model(docs: DataFrame, ranges: int, bits: int) -> tuple[str, str]:
     """Paths of the model as each part of docs asks for it: the counts of its pairs,
     and those of its words with the discounts of their language (d of pairs, e of left
     neighbours), for the models of both halves.
@@ -452,10 +462,10 @@ def word_model(docs: DataFrame, ranges: int) -> tuple[str, str]:
     docs must give the same splits at every reading; that is checked by part.
     """
     few = -(-ranges // 16)
-    asked = docs.mapInArrow(_ask_pairs(ranges), ASKED)
-    pairs = blocks.store_by_part(asked.groupBy("slot").applyInArrow(_merge_pairs(ranges), GIVEN))
-    tallied = docs.mapInArrow(_tally_words(pairs, few), TALLIED)
-    told = materialize(tallied.groupBy("slot").applyInArrow(_merge_words(few), TOLD))
+    asked = docs.mapInArrow(_ask_pairs(ranges, bits), ASKED)
+    pairs = blocks.store_by_part(asked.groupBy("slot").applyInArrow(_merge_pairs(ranges, bits), GIVEN))
+    tallied = docs.mapInArrow(_tally_words(pairs, few, bits), TALLIED)
+    told = materialize(tallied.groupBy("slot").applyInArrow(_merge_words(few, bits), TOLD))
     names = ["all_left", "u1", "u2", "um", "u3", "u4", "c1", "c2", "c3", "c4"]
     sums = told.filter("part is null").groupBy("lang_key", "model").agg(
         *[F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(names)]
@@ -548,11 +558,11 @@ class PartModel:
         return out
 
 
-def _scorer(shared, pairs: str, told: str):
+def _scorer(shared, pairs: str, told: str, bits: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelling = SortedModel(*shared.value).surprise(SLOTS)
         for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces)
+            own = PartPairs(pieces, bits)
             model = PartModel(own, part, pairs, told) if len(own.keys) else None
             done = 0
             for piece in pieces:
@@ -612,8 +622,9 @@ def quality_verdicts(
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spelling = kneser_ney(docs, by_language=False)
     shared = spark.sparkContext.broadcast(SortedModel.arrays_of(spelling.toArrow()))
-    pairs, words = word_model(docs, -(-size // RANGE_BYTES) or 1)
-    scored = materialize(docs.mapInArrow(_scorer(shared, pairs, words), SCORED)).withColumn(
+    bits = key_bits(size)
+    pairs, words = word_model(docs, -(-size // RANGE_BYTES) or 1, bits)
+    scored = materialize(docs.mapInArrow(_scorer(shared, pairs, words, bits), SCORED)).withColumn(
         "base_failed", F.expr(f"n_words < {int(min_words)} or 100 * n_repeat_words > 30 * n_words")
     )
     bands = (

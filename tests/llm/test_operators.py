@@ -179,8 +179,8 @@ def test_quality_model_counts_every_pair_per_language(spark):
     names = ["en"] + [f"x{k}" for k in range(400) if quality.slot_of(f"x{k}") == quality.slot_of("en")][:2]
     texts = [(k, " ".join(f"{'abcdefgh'[(k + j * j) % 8]}{j % 3}" for j in range(30 + k)), names[k % 3]) for k in range(12)]
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string").coalesce(1)
-    pairs, words = quality.word_model(df, 4)
-    own = quality.PartPairs(pa.Table.from_pandas(df.toPandas()).to_batches())
+    pairs, words = quality.word_model(df, 4, 48)
+    own = quality.PartPairs(pa.Table.from_pandas(df.toPandas()).to_batches(), 48)
     n0, n1, lead = own.answers(pairs, 0)
     want = defaultdict(int)
     for _, t, lang in texts:

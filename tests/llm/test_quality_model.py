@@ -123,16 +123,16 @@ def some_texts():
     return [*texts, (120, None, "en"), (121, "", None), (122, "lone words here", "only"), (3, texts[3][1], texts[3][2])]
 
 
-@pytest.mark.parametrize("part_bytes", [16 << 20, 500])
-def test_perplexity_equals_the_plain_loop(spark, monkeypatch, part_bytes):
+@pytest.mark.parametrize("ranges", [None, 20])
+def test_perplexity_equals_the_plain_loop(spark, monkeypatch, ranges):
     """All parts and ranges together give the perplexities of the definition."""
     rows = some_texts()
     want = sorted(zip([r[0] for r in rows], surprise_loop(rows)))
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    if part_bytes < 1000:
-        # Two ranges for words and many for pairs.
-        path = quality.word_model
-        monkeypatch.setattr(quality, "word_model", lambda docs, ranges: path(docs, 20))
+    if ranges:
+        # Two ranges of words and many of pairs.
+        whole = quality.word_model
+        monkeypatch.setattr(quality, "word_model", lambda docs, _, bits: whole(docs, ranges, bits))
     got = sorted((r["doc_id"], math.log(r["perplexity"])) for r in quality.quality_verdicts(df).collect())
     assert [d for d, _ in got] == [d for d, _ in want]
     assert max(abs(x - y) for (_, x), (_, y) in zip(got, want)) < 1e-9
@@ -146,6 +146,9 @@ def test_blocks_round_trip():
         ordered = np.sort(values)
         base = int(ordered[0]) if len(ordered) else 5
         assert (blocks.unpack_sorted(blocks.pack_sorted(ordered, base), base) == ordered).all()
+    for n in (0, 1, 8, 1001):
+        marks = rng.integers(0, 2, n).astype(bool)
+        assert (blocks.unpack_bits(blocks.pack_bits(marks)) == marks).all()
     # A sorted column of hashes costs only what its order does not give.
     hashes = np.sort(rng.integers(0, 1 << 56, 1 << 16, dtype=np.uint64))
     assert len(blocks.pack_sorted(hashes)) < 5.5 * len(hashes)
@@ -154,7 +157,7 @@ def test_blocks_round_trip():
 def test_changed_input_is_an_error(spark):
     """A part that holds other rows at the second reading is found by its mark."""
     df = spark.createDataFrame(some_texts(), SCHEMA).coalesce(1)
-    pairs, _ = quality.word_model(df, 2)
+    pairs, _ = quality.word_model(df, 2, 48)
     other = df.withColumn("text", F.concat("text", F.lit(" more")))
     with pytest.raises(Exception, match="the input changed"):
-        other.mapInArrow(quality._tally_words(pairs, 1), quality.TALLIED).count()
+        other.mapInArrow(quality._tally_words(pairs, 1, 48), quality.TALLIED).count()
