@@ -235,8 +235,11 @@ ASKED = "part long, slot int, keys binary, n binary, odd binary, n1 binary"
 GIVEN = "part long, slot int, mark long, n0 binary, n1 binary, lead binary"
 TALLIED = "part long, lang_key long, slot int, words binary, tallies binary"
 TOLD = "part long, lang_key long, slot int, counts binary, model int, totals array<double>"
-TALLIES = ["total", "h1", "h2", "hm", "h3", "h4", "left"]
-COUNTS = ["total", "h1", "h2", "hm", "left"]
+TALLIES = ["rest", "h1", "h2", "h3", "h4", "h5", "left"]
+COUNTS = ["rest", "h1", "h2", "hm", "left"]
+"""Pairs of a word as history that come once, twice and so on (h5: five times or more,
+hm: three or more) and its left neighbours. Its total is stored as what is more than the
+least that these numbers allow, which is mostly 0."""
 PARAMS = ["d1", "d2", "d3", "e1", "e2", "e3", "all_left", "last_back"]
 
 
@@ -399,8 +402,9 @@ def _tally_words(path: str, slots: int, bits: int):
             size, tallies = len(own.word), []
             for n in counts:
                 heads = lambda test: np.bincount(own.at_a[lead & test], minlength=size)
-                tallies.append(np.bincount(own.at_a[lead], n[lead], size).astype(np.int64))
-                tallies += [heads(n == 1), heads(n == 2), heads(n >= 3), heads(n == 3), heads(n == 4)]
+                each = [heads(n == 1), heads(n == 2), heads(n == 3), heads(n == 4), heads(n >= 5)]
+                total = np.bincount(own.at_a[lead], n[lead], size).astype(np.int64)
+                tallies += [total - sum(k * x for k, x in enumerate(each, 1)), *each]
                 tallies.append(np.bincount(own.at_b[lead & (n > 0)], minlength=size))
             both = np.array(tallies)
             yield _rows(
@@ -428,9 +432,13 @@ def _merge_words(slots: int, bits: int):
         for k, r in enumerate(asked):
             # A word comes once in a block.
             sums[:, which[at[k] : at[k + 1]]] += blocks.unpack(r["tallies"]).astype(np.int64).reshape(2 * wide, -1)
-        told = [m * wide + TALLIES.index(c) for m in (0, 1) for c in COUNTS]
+        told = []
+        for m in (0, 1):
+            rest, h1, h2, h3, h4, h5, left = sums[m * wide : (m + 1) * wide]
+            told += [rest + h4 + 2 * h5, h1, h2, h3 + h4 + h5, left]
+        told = np.array(told)
         rows = [
-            (r["part"], r["lang_key"], r["slot"], blocks.pack(sums[told][:, which[at[k] : at[k + 1]]].ravel()), None, None)
+            (r["part"], r["lang_key"], r["slot"], blocks.pack(told[:, which[at[k] : at[k + 1]]].ravel()), None, None)
             for k, r in enumerate(asked)
         ]
         langs, group = np.unique(np.repeat([r["lang_key"] for r in asked], np.diff(at))[first], return_inverse=True)
@@ -461,11 +469,11 @@ def word_model(docs: DataFrame, ranges: int, bits: int) -> tuple[str, str]:
 
     docs must give the same splits at every reading; that is checked by part.
     """
-    few = -(-ranges // 16)
+    few = -(-ranges // 4)
     asked = docs.mapInArrow(_ask_pairs(ranges, bits), ASKED)
     pairs = blocks.store_by_part(asked.groupBy("slot").applyInArrow(_merge_pairs(ranges, bits), GIVEN))
     tallied = docs.mapInArrow(_tally_words(pairs, few, bits), TALLIED)
-    told = materialize(tallied.groupBy("slot").applyInArrow(_merge_words(few, bits), TOLD))
+    told = tallied.groupBy("slot").applyInArrow(_merge_words(few, bits), TOLD)
     names = ["all_left", "u1", "u2", "um", "u3", "u4", "c1", "c2", "c3", "c4"]
     sums = told.filter("part is null").groupBy("lang_key", "model").agg(
         *[F.sum(F.col("totals")[k]).alias(c) for k, c in enumerate(names)]
@@ -530,6 +538,8 @@ class PartModel:
             raise RuntimeError(f"the input changed between two readings: part {part} holds other words")
         wide = len(COUNTS)
         self.counts = [dict(zip(COUNTS, counts[m * wide : (m + 1) * wide])) for m in (0, 1)]
+        for c in self.counts:
+            c["total"] = c["rest"] + c["h1"] + 2 * c["h2"] + 3 * c["hm"]
         self.params = {r["lang_key"]: (r["params0"], r["params1"]) for r in told}
 
     def loss(self, which: np.ndarray, fold: np.ndarray, lang: np.ndarray, spelled: np.ndarray) -> np.ndarray:
