@@ -282,6 +282,30 @@ def test_jaccard_families_and_small_sets(spark):
     same([tuple(r) for r in similar_documents(df).collect()], jaccard_loop(data))
 
 
+@pytest.mark.parametrize("costly", [0, 1, 3])
+def test_jaccard_loses_no_link_where_signatures_are_costly(spark, monkeypatch, costly):
+    """Sets with few and with many short segments, all of whose segments others
+    share, so that almost every set leaves signatures out."""
+    from storyhub.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "COSTLY", costly)
+    monkeypatch.setattr(jaccard, "PAIRS_HELD", 50)
+    rng = np.random.default_rng(17 + costly)
+    rows = []
+    for f in range(14):
+        n = int(rng.integers(12, 70))
+        base = [f"f{f}w{k}" for k in range(n)]
+        for _ in range(24):
+            lo, hi = int(rng.integers(0, max(2, n // 6))), n - int(rng.integers(0, max(2, n // 6)))
+            w = base[lo:hi]
+            if rng.random() < 0.5:
+                w[int(rng.integers(0, len(w)))] = f"z{rng.integers(0, 4)}"
+            rows.append(w)
+    data = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    same([tuple(r) for r in jaccard.similar_documents(df).collect()], jaccard_loop(data))
+
+
 # Chat formatting
 
 
