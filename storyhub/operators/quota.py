@@ -123,12 +123,13 @@ def next_points(points: DataFrame, span: int, width: int) -> DataFrame:
     asked = points.select("model", (F.col("at") + span).alias("pos"), F.col("at").alias("ask"))
     both = points.select("model", F.col("at").alias("pos"), F.lit(None).cast("bigint").alias("ask")).unionByName(asked)
     both = both.withColumn("slice", F.floor(F.col("pos") / width))
+    # Backwards in time, as Spark adds up a frame that grows once, but one that shrinks anew for each row.
     here = F.min(F.when(F.col("ask").isNull(), F.col("pos"))).over(
-        W.partitionBy("model", "slice").orderBy("pos").rangeBetween(W.currentRow, W.unboundedFollowing)
+        W.partitionBy("model", "slice").orderBy(F.col("pos").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
     )
     found = both.withColumn("here", here).filter("ask IS NOT NULL").select("model", "slice", F.col("ask").alias("at"), "here")
     firsts = both.groupBy("model", "slice").agg(F.min(F.when(F.col("ask").isNull(), F.col("pos"))).alias("first"))
-    later = F.min("first").over(W.partitionBy("model").orderBy("slice").rowsBetween(1, W.unboundedFollowing))
+    later = F.min("first").over(W.partitionBy("model").orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1))
     firsts = firsts.withColumn("later", later).select("model", "slice", "later")
     return found.join(firsts, ["model", "slice"]).select("model", "at", F.coalesce("here", "later").alias("jump"))
 
