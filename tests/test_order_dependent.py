@@ -317,3 +317,55 @@ def test_shared_urls_are_whole_urls(spark):
     urls = [("a", "https://s/1"), ("b", "https://s/1"), ("b", "https://s/2"), ("c", "https://s/3")]
     i = spark.createDataFrame(urls, "cluster_id string, url string").withColumn("published_at", F.to_timestamp(F.lit("2024-01-10 01:00:00")))
     assert {r["hub_id"]: r["overlaps"] for r in digest.shared_urls(c, i).collect()} == {"a": ["b"], "b": ["a"]}
+
+
+@pytest.mark.parametrize("rows", [5, 40, 1000])
+def test_similar_classes_equal_loop(spark, monkeypatch, rows):
+    """Links and classes without pairs, over cells of one and of many blocks, with copies and zero vectors."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity.cell_links, "__defaults__", (rows,))
+    rng = np.random.default_rng(rows)
+    vectors = rng.normal(size=(60, 6)).tolist()
+    vectors += vectors[:20] + [[0.0] * 6] * 2
+    df = spark.createDataFrame([(k, "ab"[k % 2], v) for k, v in enumerate(vectors)], "id long, scope string, embedding array<double>")
+    got = {r["id"]: (r["links"], r["class"]) for r in similarity.similar_classes(df, 0.75, "scope").collect()}
+    units = similarity.unit_rows(vectors)
+    near = {a: {b for b in range(82) if b != a and a % 2 == b % 2 and units[a] @ units[b] >= 0.75} for a in range(82)}
+    want = {}
+    for a in near:
+        seen, open_ = {a}, [a]
+        while open_:
+            fresh = near[open_.pop()] - seen
+            seen |= fresh
+            open_ += fresh
+        want[a] = (len(near[a]), min(seen))
+    assert got == want and any(n > 2 for n, _ in want.values())
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_spanning_links_keep_components(same):
+    import numpy as np
+
+    linked = np.random.default_rng(4).random((50, 50 if same else 30)) < 0.03
+    if same:
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+    pairs = [(i, j if same else j + 50) for i, j in zip(*(x.tolist() for x in np.nonzero(linked)))]
+    found = similarity.spanning_links(linked, same)
+
+    def classes(edges):
+        label = list(range(80))
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert classes(found) == classes(pairs) and 0 < len(found) < 80
+
+
+def test_query_vectors_are_every_50th(spark):
+    from storyhub.plans import load_all
+
+    got = load_all()["J5_match_hubs_batch"].run(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r["query_id"] % 50 == 0 for r in got)
