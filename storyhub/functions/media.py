@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyhub.functions import lexicon as lx
-from storyhub.functions.text import TAG, col, contains_any, decode_entities, squeeze, strip, sub
+from storyhub.functions.text import TAG, col, contains_any, decode_entities, let, squeeze, strip, sub
 
 
 def sanitize_xml(c) -> Column:
@@ -48,10 +48,10 @@ def article_text(html, url=None) -> Column:
     for element in lx.ARTICLE_DROPPED_ELEMENTS:
         clean = sub(clean, rf"(?is)<{element}.*?</{element}>")
 
-    def block(name):
-        return F.nullif(F.regexp_extract(clean, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), F.lit(""))
+    def block(page, name):
+        return F.nullif(F.regexp_extract(page, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), F.lit(""))
 
-    body = F.coalesce(block("article"), block("main"), clean)
+    body = let(clean, lambda page: F.coalesce(block(page, "article"), block(page, "main"), page))
     paragraphs = F.regexp_extract_all(body, F.lit(r"(?is)(<p[^>]*>.*?</p>)"), 1)
     texts = F.transform(
         paragraphs, lambda p: squeeze(sub(decode_entities(sub(p, TAG)), r"&#\d+;"))
@@ -71,12 +71,13 @@ def article_text(html, url=None) -> Column:
         ),
         lambda acc: acc["kept"],
     )
-    text = strip(F.substring(F.array_join(kept, " "), 1, 1800))
-    ok = (F.length(h) >= 500) & (F.length(text) > 60)
+    ok = F.length(h) >= 500
     if url is not None:
         u = col(url)
         ok = ok & F.startswith(u, F.lit("http")) & ~contains_any(u, lx.ARTICLE_SKIPPED_HOSTS)
-    return F.when(ok, text)
+    # Looked at first, as they cost little; the text is made once.
+    made = let(strip(F.substring(F.array_join(kept, " "), 1, 1800)), lambda text: F.when(F.length(text) > 60, text))
+    return F.when(ok, made)
 
 
 def channel_matches(channel, source_name) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyhub.functions import lexicon as lx
-from storyhub.functions.text import any_of, col, contains_any, whole_word
+from storyhub.functions.text import any_of, col, contains_any, let, whole_word
 
 
 def shared_prefixes(words, prefix_is_enough: bool) -> str:
@@ -49,9 +50,15 @@ def keyword_pattern(words, whole=None) -> str:
             bounded.append(word)
         else:
             odd.append(whole_word(word))
-    parts = [shared_prefixes(anywhere, True)] if anywhere else []
+    ascii_, other = [w for w in anywhere if w.isascii()], [w for w in anywhere if not w.isascii()]
+    parts = [shared_prefixes(ascii_, True)] if ascii_ else []
+    if other:
+        # One look at a range rules most positions out; trying every first letter is slow.
+        first = sorted(w[0] for w in other)
+        parts.append(f"(?=[{re.escape(first[0])}-{re.escape(first[-1])}]){shared_prefixes(other, True)}")
     if bounded:
-        parts.append(f"(?<![A-Za-z0-9_]){shared_prefixes(bounded, False)}(?![A-Za-z0-9_])")
+        first = "".join(sorted({w[0] for w in bounded}))
+        parts.append(f"(?<![A-Za-z0-9_])(?=[{first}]){shared_prefixes(bounded, False)}(?![A-Za-z0-9_])")
     return "|".join(parts + odd)
 
 
@@ -118,7 +125,8 @@ def script_language(text, source_lang=None) -> Column:
 
 
 def is_sensitive(text) -> Column:
-    return contains_any(F.lower(col(text)), lx.SENSITIVE_PHRASES)
+    # A plain search a phrase is faster than one regex over all of them.
+    return let(F.lower(col(text)), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in lx.SENSITIVE_PHRASES]))
 
 
 def is_protest(text) -> Column:

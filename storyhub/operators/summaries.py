@@ -120,29 +120,37 @@ def summary_plan(
     recent = hubs.filter(F.col("last_updated_at") >= times.hours_before(as_of, hours))
     mine = items.filter(F.col("published_at") >= times.hours_before(as_of, hours)).withColumnRenamed("cluster_id", "hub_id")
     snippet = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("raw_summary", "og_description") if c in items.columns])
-    facts = mine.groupBy("hub_id").agg(
+    # Only what is told of a text is sorted and shuffled, never the text.
+    told_of = mine.select(
+        "hub_id",
+        "ord",
+        topics.is_sensitive(told(mine)).alias("sensitive"),
+        topics.is_protest(told(mine, with_page=True)).alias("protest"),
+        F.when(snippet.isNotNull(), text.clean_summary_start(snippet, 180)).alias("lead"),
+    )
+    facts = told_of.groupBy("hub_id").agg(
         F.count("*").alias("items"),
-        F.bool_or(topics.is_sensitive(told(mine))).alias("sensitive"),
-        F.bool_or(topics.is_protest(told(mine, with_page=True))).alias("protest"),
-        F.min_by(snippet, F.when(snippet.isNotNull(), F.col("ord"))).alias("snippet"),
+        F.bool_or("sensitive").alias("sensitive"),
+        F.bool_or("protest").alias("protest"),
+        F.min_by("lead", F.when(F.col("lead").isNotNull(), F.col("ord"))).alias("lead"),
     )
-    chosen = lane_balanced(mine, hub="hub_id")
-    lines = chosen.select("hub_id", "position", text.report_line("title", "raw_summary").alias("line"))
+    lines = mine.select("hub_id", "lane", "ord", text.report_line("title", "raw_summary").alias("line"))
     prompts = (
-        lines.groupBy("hub_id")
+        lane_balanced(lines, hub="hub_id")
+        .groupBy("hub_id")
         .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("l"))
         .select("hub_id", text.prompt_text(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("prompt"))
     )
     if pages is not None:
         prompts = _with_excerpt(prompts, mine, pages)
     plan = recent.select("hub_id", "title").join(facts, "hub_id", "left").join(prompts, "hub_id", "left")
-    n = F.coalesce("items", F.lit(0))
+    n, lead = F.coalesce("items", F.lit(0)), F.coalesce("lead", F.lit(""))
     flagged = F.coalesce("sensitive", F.lit(False)) | topics.is_sensitive(F.col("title"))
-    trivial = (n == 0) | ((n == 1) & (F.length(text.clean_summary("snippet")) < 40))
+    trivial = (n == 0) | ((n == 1) & (F.length(lead) < 40))
     tokens = text.estimate_tokens("prompt")
     plan = (
         plan.withColumn("is_protest", F.coalesce("protest", F.lit(False)) | topics.is_protest("title"))
-        .withColumn("fallback", F.when(flagged, text.clean_headline("title")).otherwise(text.fallback_summary("title", "snippet")))
+        .withColumn("fallback", F.when(flagged, text.clean_headline("title")).otherwise(text.fallback_of_clean("title", lead)))
         .withColumn("tokens", tokens)
         .withColumn("job", F.when(tokens > 2000, "long_input").otherwise("short_medium"))
         .withColumn("content_hash", text.content_hash(F.lit(version), "job", F.lit(system), "prompt"))
