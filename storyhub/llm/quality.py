@@ -250,19 +250,22 @@ def key_bits(size: int) -> int:
 
 
 def _word_keys(piece) -> tuple[np.ndarray, ...]:
-    """Half and language of each text; first byte, key and key of the word before for each word."""
+    """Half and language of each text; first byte, key and key of the word before for each
+    word; `running` are the sums that hashes of the bytes are made from."""
     data, at = arrays.text_bytes(piece.column("text"))
     starts, ends, word_at = arrays.find_words(data, at)
     letters, lang_at = arrays.text_bytes(piece.column("lang"))
     lang = arrays.word_hashes(letters, lang_at[:-1], lang_at[1:])
-    fold = (arrays.word_hashes(data, at[:-1], at[1:]) & np.uint64(1)).astype(np.int32)
+    running = arrays.running_sums(arrays.BYTE_VALUES[data])
+    fold = (arrays.spans_of(running, at[:-1], at[1:]) & np.uint64(1)).astype(np.int32)
     owner = arrays.text_of(word_at)
-    b = arrays.mix(arrays.word_hashes(data, starts, ends) + lang[owner])
+    words = arrays.spans_of(running, starts, ends)
+    b = arrays.mix(words + lang[owner])
     a = np.empty_like(b)
     a[1:] = b[:-1]
     heads = word_at[:-1][word_at[:-1] < word_at[1:]]
     a[heads] = arrays.mix(lang[owner[heads]] + PAIR_MIX)
-    return data, at, starts, ends, word_at, owner, fold, lang, a, b
+    return data, at, running, starts, words, word_at, owner, fold, lang, a, b
 
 
 class PartPairs:
@@ -276,7 +279,7 @@ class PartPairs:
         cut = np.uint64(64 - bits)
         pairs, odd, firsts = [], [], []
         for piece in pieces:
-            *_, owner, fold, lang, a, b = _word_keys(piece)
+            owner, fold, lang, a, b = _word_keys(piece)[-5:]
             pairs.append(arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> cut)
             odd.append(fold[owner] == 1)
             if with_words:
@@ -302,7 +305,8 @@ class PartPairs:
         and b among them (at_a, at_b)."""
         both, langs = np.concatenate((self.a, self.b)), np.tile(self.lang, 2)
         word, first, at = blocks.distinct(both)
-        order = np.lexsort((word, langs[first]))
+        # Words are in ascending order within a language.
+        order = np.argsort(langs[first], kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.word, self.word_lang = word[order], langs[first][order]
@@ -494,7 +498,7 @@ SCORED = """doc_id long, lang string, n_words long, word_chars long, n_symbols l
 n_repeat_words long, surprise double"""
 
 
-def _dup_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _dup_lines(data: np.ndarray, at: np.ndarray, sums: np.ndarray) -> np.ndarray:
     breaks = np.flatnonzero(data == 10)
     texts = len(at) - 1
     owner = np.searchsorted(at, breaks, side="right") - 1
@@ -509,7 +513,7 @@ def _dup_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     running = np.concatenate(([0], np.cumsum(~arrays.WHITE[data])))
     worded = running[ends] > running[starts]
     starts, ends, doc = starts[worded], ends[worded], doc[worded]
-    hashes = arrays.span_hashes(arrays.BYTE_VALUES[data], starts, ends)
+    hashes = arrays.spans_of(sums, starts, ends)
     _, again = arrays.repeated(arrays.mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return np.bincount(doc[again], minlength=texts)
 
@@ -517,7 +521,7 @@ def _dup_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _repeat_words(words: np.ndarray, word_at: np.ndarray, size: int = 8) -> np.ndarray:
     first, hashes = arrays.window_hashes(words, word_at, size)
     doc = np.searchsorted(word_at, first, side="right") - 1
-    found, _ = arrays.repeated(arrays.mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    found = arrays.met_twice(arrays.mix(hashes + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     edge = np.zeros(len(words) + 1, np.int64)
     edge[first[found]] += 1
     np.subtract.at(edge, first[found] + size, 1)
@@ -570,16 +574,21 @@ class PartModel:
 
 def _scorer(shared, pairs: str, told: str, bits: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = SortedModel(*shared.value).surprise(SLOTS)
+        # The last class of a code tells among how many bytes it stands.
+        spelling = SortedModel(*shared.value).surprise(SLOTS) + np.log(np.maximum(CLASS_SIZE, 1))[np.arange(A**3) % A]
         for part, pieces in blocks.parts(batches):
             own = PartPairs(pieces, bits)
             model = PartModel(own, part, pairs, told) if len(own.keys) else None
+            if model:
+                # Scoring needs the places of words only.
+                del own.a, own.b, own.lang, own.keys, own.n0, own.n1
             done = 0
             for piece in pieces:
-                data, at, starts, ends, word_at, owner, fold, lang, _, _ = _word_keys(piece)
-                words = arrays.word_hashes(data, starts, ends)
+                data, at, running, starts, words, word_at, owner, fold, lang = _word_keys(piece)[:-2]
+                dup_lines = _dup_lines(data, at, running)
+                del running
                 letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
-                loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)] + np.log(CLASS_SIZE[CLASS_OF[data]]))))
+                loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)])))
                 # A word is spelled with the white space after it; white space before the first word counts by itself.
                 stops = np.append(starts[1:], len(data))
                 full = np.flatnonzero(word_at[:-1] < word_at[1:])
@@ -598,7 +607,7 @@ def _scorer(shared, pairs: str, told: str, bits: int):
                         pa.array(np.diff(word_at)),
                         pa.array(arrays.per_text(letters, at)),
                         pa.array(arrays.per_text(SYMBOL[data], at)),
-                        pa.array(_dup_lines(data, at)),
+                        pa.array(dup_lines),
                         pa.array(_repeat_words(words, word_at)),
                         pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)),
                     ],
