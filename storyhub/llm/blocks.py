@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 
 from storyhub.llm import arrays
 from storyhub.llm.warc import open_folder
-from storyhub.session import materialize, scratch_path
+from storyhub.session import materialize, scratch_path, shuffles_freed
 
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -101,7 +101,8 @@ def repeatable(docs: DataFrame) -> DataFrame:
 def store_by_part(rows: DataFrame) -> str:
     """Write rows into one folder for each value of `part`; gives the path."""
     path = scratch_path(rows.sparkSession, "parts")
-    rows.repartition("part").write.partitionBy("part").option("compression", "none").parquet(path)
+    with shuffles_freed(rows.sparkSession):
+        rows.repartition("part").write.partitionBy("part").option("compression", "none").parquet(path)
     return path
 
 
