@@ -20,7 +20,7 @@ from storyhub.llm import arrays
 from storyhub.llm.warc import open_folder
 from storyhub.session import materialize, scratch_path, shuffles_freed
 
-PART_BYTES = 8 << 20
+PART_BYTES = 10 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
