@@ -205,6 +205,33 @@ def test_no_grouped_pass_above_the_bound(spark, monkeypatch):
         clustering.cluster_vectors(df, method="grouped")
 
 
+def test_pass_is_told_few_hubs_of_an_item(spark, monkeypatch):
+    """However many hubs lie near an item, a pass is told a fixed number of them, and
+    gives the result of the loop; passes that would need more end early."""
+    rng = random.Random(10)
+    monkeypatch.setattr(clustering, "GROUP_ROWS", 16)
+    monkeypatch.setattr(clustering, "NEAR_HUBS", 2, raising=False)
+    rows = random_items(9, 48, near=0.3)
+    for r in rows:
+        # Vectors around one direction: with few publishers most items found hubs that lie near all others.
+        r["embedding"] = [1.0] + [rng.gauss(0, 0.41) for _ in range(10)]
+        r["publisher"] = rng.choice(["p1", "p2", "p3"])
+    told, passes = [], []
+    plain = clustering._told
+
+    def watched(part, kind, **given):
+        if kind == "near":
+            told.append(part.groupBy("component", "ord").count().agg(F.max("count")).first()[0] or 0)
+        if kind == "item":
+            passes.append(part.count())
+        return plain(part, kind, **given)
+
+    monkeypatch.setattr(clustering, "_told", watched)
+    assert assigned(clustering.cluster_vectors(with_vectors(spark, rows))) == loops.cluster(rows)
+    assert max(told) == 2
+    assert sum(passes) > len(rows)
+
+
 def test_aggregator_queries_gather_no_scope(spark, monkeypatch):
     """The default and the registered queries never take the grouped pass, which
     refuses scopes above its bound."""
