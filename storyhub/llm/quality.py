@@ -84,7 +84,12 @@ def _codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     one[heads] = two[heads] = 0
     seconds = heads[heads + 1 < len(c)] + 1
     two[seconds] = 0
-    return (two * A + one) * A + c
+    # In place, as there is a number for every byte of a slice.
+    two *= A
+    two += one
+    two *= A
+    two += c
+    return two
 
 
 def _langs(batch: pa.RecordBatch) -> np.ndarray:
@@ -96,7 +101,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in arrays.slices(batches):
         data, at = arrays.text_bytes(piece.column("text"))
         slots, which = np.unique(_langs(piece), return_inverse=True)
-        keys = np.repeat(which, np.diff(at)) * A**3 + _codes(data, at)
+        keys = _codes(data, at)
+        keys += np.repeat((which * A**3).astype(np.int32), np.diff(at))
         counts = np.bincount(keys, minlength=len(slots) * A**3).reshape(len(slots), -1)
         for k, slot in enumerate(slots):
             totals[int(slot)] = totals.get(int(slot), 0) + counts[k]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,3 +28,19 @@ def test_bytes_of_a_slice_are_summed_once(monkeypatch):
     assert found.tolist() == [0, 0, 0, 0, 0]
     ends = arrays.find_words(data, at)[1]
     assert (words == arrays.word_hashes(data, starts, ends)).all()
+
+
+def test_spelling_counts_take_few_bytes_for_a_byte_of_text():
+    """Counts by language equal those of each text by itself, in less than 20 bytes a byte."""
+    texts, langs = ["Some words, and 12 more.\n" * 80_000, "x", None, "a b" * 9], ["en", None, "de", "de"]
+    piece = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(langs)], ["text", "lang"])
+    list(quality._count(iter([piece])))
+    tracemalloc.start()
+    try:
+        counted = list(quality._count(iter([piece])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * len(texts[0])
+    found = {b.column("slot")[0].as_py(): sum(b.column("n").to_pylist()) for b in counted}
+    assert found == {quality.slot_of("en"): len(texts[0]), quality.slot_of(None): 1, quality.slot_of("de"): 27}
