@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 
 from storyhub.llm import arrays
 from storyhub.llm.warc import open_folder
-from storyhub.session import materialize, scratch_path, shuffles_freed
+from storyhub.session import batches_bounded, materialize, scratch_path, shuffles_freed
 
 PART_BYTES = 10 << 20
+PIECE_BYTES = 1 << 20
+"""Bytes of text that are worked at once: sums and marks take up to 100 bytes for each."""
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -79,8 +81,9 @@ def borders(slots: int, bits: int) -> np.ndarray:
 def parts(batches: Iterator[pa.RecordBatch], part_bytes: int = PART_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Number and slices of each part of this task: about part_bytes of text, or one
     longer text. Numbers repeat when the same rows are read again in the same splits."""
+    arrays.drop_worker_state()
     base, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for piece in arrays.slices(batches):
+    for piece in arrays.slices(batches, limit=PIECE_BYTES):
         _, at = arrays.text_bytes(piece.column("text"))
         if held and size + at[-1] > part_bytes:
             yield base, held
@@ -101,7 +104,7 @@ def repeatable(docs: DataFrame) -> DataFrame:
 def store_by_part(rows: DataFrame) -> str:
     """Write rows into one folder for each value of `part`; gives the path."""
     path = scratch_path(rows.sparkSession, "parts")
-    with shuffles_freed(rows.sparkSession):
+    with shuffles_freed(rows.sparkSession), batches_bounded(rows.sparkSession):
         rows.repartition("part").write.partitionBy("part").option("compression", "none").parquet(path)
     return path
 

@@ -97,8 +97,9 @@ def _langs(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrays.drop_worker_state()
     totals: dict[int, np.ndarray] = {}
-    for piece in arrays.slices(batches):
+    for piece in arrays.slices(batches, limit=blocks.PIECE_BYTES):
         data, at = arrays.text_bytes(piece.column("text"))
         slots, which = np.unique(_langs(piece), return_inverse=True)
         keys = _codes(data, at)
@@ -278,45 +279,57 @@ class PartPairs:
     """The word pairs of a part, each once, by ascending hash.
 
     keys, n0, n1: hash of each pair and its counts in the halves; which: the pair of
-    each word of the part; a, b, lang: the words and the language of each pair.
+    each word of the part; a, b, lang: the words of each pair and the place of its
+    language in langs, which ascend.
     """
 
     def __init__(self, pieces: list[pa.RecordBatch], bits: int, with_words: bool = True):
         cut = np.uint64(64 - bits)
-        pairs, odd, firsts = [], [], []
+        pairs, odd, seconds, heads, opened, langs, done = [], [], [], [], [], [], 0
         for piece in pieces:
-            owner, fold, lang, a, b = _word_keys(piece)[-5:]
+            word_at, owner, fold, lang, a, b = _word_keys(piece)[-6:]
             pairs.append(arrays.mix(arrays.mix(a) * PAIR_MIX + b) >> cut)
             odd.append(fold[owner] == 1)
             if with_words:
-                # Pairs are named once for each slice, then once for the part.
-                _, first, _ = blocks.distinct(pairs[-1])
-                firsts.append((pairs[-1][first], a[first] >> cut, b[first] >> cut, lang[owner[first]]))
+                full = np.flatnonzero(word_at[:-1] < word_at[1:])
+                seconds.append(b >> cut)
+                heads.append(word_at[full] + done)
+                opened.append(a[word_at[full]] >> cut)
+                langs.append(lang[full])
+            done += len(b)
         pairs, odd = np.concatenate(pairs), np.concatenate(odd)
-        self.keys, _, self.which = blocks.distinct(pairs)
+        self.keys, first, self.which = blocks.distinct(pairs)
         del pairs
-        whole = np.bincount(self.which, minlength=len(self.keys))
-        self.n1 = np.bincount(self.which[odd], minlength=len(self.keys))
-        self.n0 = whole - self.n1
+        self.n1 = np.bincount(self.which[odd], minlength=len(self.keys)).astype(np.int32)
+        self.n0 = np.bincount(self.which, minlength=len(self.keys)).astype(np.int32)
+        self.n0 -= self.n1
         if with_words:
-            size = len(self.keys)
-            self.a, self.b, self.lang = (np.empty(size, np.uint64) for _ in range(3))
-            for keys, *columns in firsts:
-                at = np.searchsorted(self.keys, keys)
-                for target, column in zip((self.a, self.b, self.lang), columns):
-                    target[at] = column
+            # The word before is the first of the pair, but for words that open a text.
+            seconds, heads, opened = (np.concatenate(x) for x in (seconds, heads, opened))
+            self.langs, lang = np.unique(np.concatenate(langs), return_inverse=True)
+            text = np.searchsorted(heads, first, side="right") - 1
+            self.lang = lang.astype(np.int32)[text]
+            opens = heads[text] == first
+            self.b = seconds[first]
+            first -= 1
+            self.a = seconds[first]
+            self.a[opens] = opened[text[opens]]
 
     def words(self) -> None:
         """Adds the words by language and hash: word, word_lang, and the places of a
         and b among them (at_a, at_b)."""
-        both, langs = np.concatenate((self.a, self.b)), np.tile(self.lang, 2)
-        word, first, at = blocks.distinct(both)
+        one, first, at_a = blocks.distinct(self.a)
+        langs = self.lang[first]
+        two, first_b, at_b = blocks.distinct(self.b)
+        word, first, at = blocks.distinct(np.concatenate((one, two)))
+        langs = np.concatenate((langs, self.lang[first_b]))[first]
         # Words are in ascending order within a language.
-        order = np.argsort(langs[first], kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.word, self.word_lang = word[order], langs[first][order]
-        self.at_a, self.at_b = place[at[: len(self.a)]], place[at[len(self.a) :]]
+        order = np.argsort(langs, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.word, self.word_lang = word[order], self.langs[langs[order]]
+        place = place[at]
+        self.at_a, self.at_b = place[: len(one)][at_a], place[len(one) :][at_b]
 
     def answers(self, path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of each pair in the halves of all texts, and whether this part is the
@@ -409,14 +422,17 @@ def _tally_words(path: str, slots: int, bits: int):
                 continue
             own.words()
             *counts, lead = own.answers(path, part)
-            size, tallies = len(own.word), []
-            for n in counts:
+            del own.a, own.b, own.lang, own.which, own.keys, own.n0, own.n1
+            size, wide = len(own.word), len(TALLIES)
+            both = np.empty((2 * wide, size), np.int64)
+            for m, n in enumerate(counts):
                 heads = lambda test: np.bincount(own.at_a[lead & test], minlength=size)
-                each = [heads(n == 1), heads(n == 2), heads(n == 3), heads(n == 4), heads(n >= 5)]
-                total = np.bincount(own.at_a[lead], n[lead], size).astype(np.int64)
-                tallies += [total - sum(k * x for k, x in enumerate(each, 1)), *each]
-                tallies.append(np.bincount(own.at_b[lead & (n > 0)], minlength=size))
-            both = np.array(tallies)
+                rest, *each, left = both[m * wide : (m + 1) * wide]
+                rest[:] = np.bincount(own.at_a[lead], n[lead], size)
+                for k, x in enumerate(each, 1):
+                    x[:] = heads(n == k if k < 5 else n >= 5)
+                    rest -= k * x
+                left[:] = np.bincount(own.at_b[lead & (n > 0)], minlength=size)
             yield _rows(
                 [
                     (part, lang, k, blocks.pack_sorted(own.word[here], edges[k]), blocks.pack(both[:, here].ravel()))
