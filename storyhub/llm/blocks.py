@@ -7,7 +7,7 @@ and hashes of known order cost only the bits that their order doesn't give.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +94,18 @@ def parts(batches: Iterator[pa.RecordBatch], part_bytes: int = PART_BYTES) -> It
         yield base, held
 
 
+def by_part(work: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task that works its parts one after another and frees each before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pieces in parts(batches):
+            yield from work(part, pieces)
+            del pieces
+            arrays.free_unused()
+
+    return run
+
+
 def repeatable(docs: DataFrame) -> DataFrame:
     """docs itself where reading it again gives the same rows in the same splits, which
     a plan without a shuffle does; else a stored copy."""

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -318,18 +319,16 @@ class PartPairs:
     def words(self) -> None:
         """Adds the words by language and hash: word, word_lang, and the places of a
         and b among them (at_a, at_b)."""
-        one, first, at_a = blocks.distinct(self.a)
-        langs = self.lang[first]
-        two, first_b, at_b = blocks.distinct(self.b)
-        word, first, at = blocks.distinct(np.concatenate((one, two)))
-        langs = np.concatenate((langs, self.lang[first_b]))[first]
+        size = len(self.a)
+        word, first, at = blocks.distinct(np.concatenate((self.a, self.b)))
+        langs = self.lang[first % max(size, 1)]
+        del first
         # Words are in ascending order within a language.
         order = np.argsort(langs, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         self.word, self.word_lang = word[order], self.langs[langs[order]]
-        place = place[at]
-        self.at_a, self.at_b = place[: len(one)][at_a], place[len(one) :][at_b]
+        self.at_a, self.at_b = place[at[:size]], place[at[size:]]
 
     def answers(self, path: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of each pair in the halves of all texts, and whether this part is the
@@ -359,20 +358,19 @@ def _ask_pairs(slots: int, bits: int):
     """Each part's pairs, sorted, one block for each range of hashes."""
     edges = blocks.borders(slots, bits)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces, bits, with_words=False)
-            cuts = np.append(np.searchsorted(own.keys, edges), len(own.keys))
-            rows = []
-            for k in range(slots):
-                here = slice(cuts[k], cuts[k + 1])
-                if cuts[k] < cuts[k + 1] or not k:
-                    n1 = own.n1[here]
-                    counts = blocks.pack(own.n0[here] + n1 - 1), blocks.pack_bits(n1 & 1), blocks.pack(n1 >> 1)
-                    rows.append((part, k, blocks.pack_sorted(own.keys[here], edges[k]), *counts))
-            yield _rows(rows, ASKED)
+    def ask(part: int, pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = PartPairs(pieces, bits, with_words=False)
+        cuts = np.append(np.searchsorted(own.keys, edges), len(own.keys))
+        rows = []
+        for k in range(slots):
+            here = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1] or not k:
+                n1 = own.n1[here]
+                counts = blocks.pack(own.n0[here] + n1 - 1), blocks.pack_bits(n1 & 1), blocks.pack(n1 >> 1)
+                rows.append((part, k, blocks.pack_sorted(own.keys[here], edges[k]), *counts))
+        yield _rows(rows, ASKED)
 
-    return ask
+    return blocks.by_part(ask)
 
 
 def _merge_pairs(slots: int, bits: int):
@@ -415,33 +413,32 @@ def _tally_words(path: str, slots: int, bits: int):
     words of the part, one block for each language and range of hashes."""
     edges = blocks.borders(slots, bits)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces, bits)
-            if not len(own.keys):
-                continue
-            own.words()
-            *counts, lead = own.answers(path, part)
-            del own.a, own.b, own.lang, own.which, own.keys, own.n0, own.n1
-            size, wide = len(own.word), len(TALLIES)
-            both = np.empty((2 * wide, size), np.int64)
-            for m, n in enumerate(counts):
-                heads = lambda test: np.bincount(own.at_a[lead & test], minlength=size)
-                rest, *each, left = both[m * wide : (m + 1) * wide]
-                rest[:] = np.bincount(own.at_a[lead], n[lead], size)
-                for k, x in enumerate(each, 1):
-                    x[:] = heads(n == k if k < 5 else n >= 5)
-                    rest -= k * x
-                left[:] = np.bincount(own.at_b[lead & (n > 0)], minlength=size)
-            yield _rows(
-                [
-                    (part, lang, k, blocks.pack_sorted(own.word[here], edges[k]), blocks.pack(both[:, here].ravel()))
-                    for lang, k, here in _spans(own.word_lang, own.word, edges)
-                ],
-                TALLIED,
-            )
+    def tally(part: int, pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = PartPairs(pieces, bits)
+        if not len(own.keys):
+            return
+        own.words()
+        *counts, lead = own.answers(path, part)
+        del own.a, own.b, own.lang, own.which, own.keys, own.n0, own.n1
+        size, wide = len(own.word), len(TALLIES)
+        both = np.empty((2 * wide, size), np.int64)
+        for m, n in enumerate(counts):
+            heads = lambda test: np.bincount(own.at_a[lead & test], minlength=size)
+            rest, *each, left = both[m * wide : (m + 1) * wide]
+            rest[:] = np.bincount(own.at_a[lead], n[lead], size)
+            for k, x in enumerate(each, 1):
+                x[:] = heads(n == k if k < 5 else n >= 5)
+                rest -= k * x
+            left[:] = np.bincount(own.at_b[lead & (n > 0)], minlength=size)
+        yield _rows(
+            [
+                (part, lang, k, blocks.pack_sorted(own.word[here], edges[k]), blocks.pack(both[:, here].ravel()))
+                for lang, k, here in _spans(own.word_lang, own.word, edges)
+            ],
+            TALLIED,
+        )
 
-    return tally
+    return blocks.by_part(tally)
 
 
 def _merge_words(slots: int, bits: int):
@@ -595,48 +592,50 @@ class PartModel:
 
 
 def _scorer(shared, pairs: str, told: str, bits: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(spelling: np.ndarray, part: int, pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = PartPairs(pieces, bits)
+        model = PartModel(own, part, pairs, told) if len(own.keys) else None
+        if model:
+            # Scoring needs the places of words only.
+            del own.a, own.b, own.lang, own.keys, own.n0, own.n1
+        done = 0
+        for piece in pieces:
+            data, at, running, starts, words, word_at, owner, fold, lang = _word_keys(piece)[:-2]
+            dup_lines = _dup_lines(data, at, running)
+            del running
+            letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
+            loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)])))
+            # A word is spelled with the white space after it; white space before the first word counts by itself.
+            stops = np.append(starts[1:], len(data))
+            full = np.flatnonzero(word_at[:-1] < word_at[1:])
+            stops[word_at[full + 1] - 1] = at[full + 1]
+            total = loss[at[1:]] - loss[at[:-1]]
+            if len(starts):
+                which = own.which[done : done + len(starts)]
+                each = model.loss(which, fold[owner], lang[owner], loss[stops] - loss[starts])
+                total[full] = loss[starts[word_at[full]]] - loss[at[full]] + arrays.per_text(each, word_at)[full]
+                done += len(starts)
+            sizes = np.diff(at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("doc_id"),
+                    piece.column("lang"),
+                    pa.array(np.diff(word_at)),
+                    pa.array(arrays.per_text(letters, at)),
+                    pa.array(arrays.per_text(SYMBOL[data], at)),
+                    pa.array(dup_lines),
+                    pa.array(_repeat_words(words, word_at)),
+                    pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)),
+                ],
+                [f.split()[0] for f in SCORED.replace("\n", " ").split(", ")],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last class of a code tells among how many bytes it stands.
         spelling = SortedModel(*shared.value).surprise(SLOTS) + np.log(np.maximum(CLASS_SIZE, 1))[np.arange(A**3) % A]
-        for part, pieces in blocks.parts(batches):
-            own = PartPairs(pieces, bits)
-            model = PartModel(own, part, pairs, told) if len(own.keys) else None
-            if model:
-                # Scoring needs the places of words only.
-                del own.a, own.b, own.lang, own.keys, own.n0, own.n1
-            done = 0
-            for piece in pieces:
-                data, at, running, starts, words, word_at, owner, fold, lang = _word_keys(piece)[:-2]
-                dup_lines = _dup_lines(data, at, running)
-                del running
-                letters = ~arrays.WHITE[data] & ((data & 0xC0) != 0x80)
-                loss = np.concatenate(([0.0], np.cumsum(spelling[_codes(data, at)])))
-                # A word is spelled with the white space after it; white space before the first word counts by itself.
-                stops = np.append(starts[1:], len(data))
-                full = np.flatnonzero(word_at[:-1] < word_at[1:])
-                stops[word_at[full + 1] - 1] = at[full + 1]
-                total = loss[at[1:]] - loss[at[:-1]]
-                if len(starts):
-                    which = own.which[done : done + len(starts)]
-                    each = model.loss(which, fold[owner], lang[owner], loss[stops] - loss[starts])
-                    total[full] = loss[starts[word_at[full]]] - loss[at[full]] + arrays.per_text(each, word_at)[full]
-                    done += len(starts)
-                sizes = np.diff(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"),
-                        piece.column("lang"),
-                        pa.array(np.diff(word_at)),
-                        pa.array(arrays.per_text(letters, at)),
-                        pa.array(arrays.per_text(SYMBOL[data], at)),
-                        pa.array(dup_lines),
-                        pa.array(_repeat_words(words, word_at)),
-                        pa.array(np.where(sizes > 0, total / np.maximum(sizes, 1), 0.0)),
-                    ],
-                    [f.split()[0] for f in SCORED.replace("\n", " ").split(", ")],
-                )
-
-    return score
+        yield from blocks.by_part(partial(score, spelling))(batches)
+
+    return run
 
 
 def quality_verdicts(

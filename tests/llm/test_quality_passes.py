@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tracemalloc
+import weakref
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +122,24 @@ def test_parts_let_go_of_what_other_operators_kept(monkeypatch):
     assert len(list(blocks.parts(iter(_noisy_part(8))))) == 1
     kept()
     assert len(made) == 2
+
+
+def test_a_part_is_freed_before_the_next_is_worked(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    class Held:
+        pass
+
+    seen = []
+
+    def work(part, pieces):
+        assert not any(x() for x in seen)
+        held = Held()
+        seen.append(weakref.ref(held))
+        yield pieces[0]
+
+    monkeypatch.setattr(blocks, "TaskContext", Task)
+    monkeypatch.setattr(blocks, "parts", partial(blocks.parts, part_bytes=1000))
+    assert len(list(blocks.by_part(work)(iter(_noisy_part(8))))) == len(seen) > 1
