@@ -280,8 +280,8 @@ class PartPairs:
     """The word pairs of a part, each once, by ascending hash.
 
     keys, n0, n1: hash of each pair and its counts in the halves; which: the pair of
-    each word of the part; a, b, lang: the words of each pair and the place of its
-    language in langs, which ascend.
+    each word of the part; a, b, lang: the words and the language of each pair, kept as
+    its place (lang_at) in langs, which ascend.
     """
 
     def __init__(self, pieces: list[pa.RecordBatch], bits: int, with_words: bool = True):
@@ -309,19 +309,23 @@ class PartPairs:
             seconds, heads, opened = (np.concatenate(x) for x in (seconds, heads, opened))
             self.langs, lang = np.unique(np.concatenate(langs), return_inverse=True)
             text = np.searchsorted(heads, first, side="right") - 1
-            self.lang = lang.astype(np.int32)[text]
+            self.lang_at = lang.astype(np.int32)[text]
             opens = heads[text] == first
             self.b = seconds[first]
             first -= 1
             self.a = seconds[first]
             self.a[opens] = opened[text[opens]]
 
+    @property
+    def lang(self) -> np.ndarray:
+        return self.langs[self.lang_at]
+
     def words(self) -> None:
         """Adds the words by language and hash: word, word_lang, and the places of a
         and b among them (at_a, at_b)."""
         size = len(self.a)
         word, first, at = blocks.distinct(np.concatenate((self.a, self.b)))
-        langs = self.lang[first % max(size, 1)]
+        langs = self.lang_at[first % max(size, 1)]
         del first
         # Words are in ascending order within a language.
         order = np.argsort(langs, kind="stable")
@@ -419,7 +423,7 @@ def _tally_words(path: str, slots: int, bits: int):
             return
         own.words()
         *counts, lead = own.answers(path, part)
-        del own.a, own.b, own.lang, own.which, own.keys, own.n0, own.n1
+        del own.a, own.b, own.lang_at, own.which, own.keys, own.n0, own.n1
         size, wide = len(own.word), len(TALLIES)
         both = np.empty((2 * wide, size), np.int64)
         for m, n in enumerate(counts):
@@ -597,7 +601,7 @@ def _scorer(shared, pairs: str, told: str, bits: int):
         model = PartModel(own, part, pairs, told) if len(own.keys) else None
         if model:
             # Scoring needs the places of words only.
-            del own.a, own.b, own.lang, own.keys, own.n0, own.n1
+            del own.a, own.b, own.lang_at, own.keys, own.n0, own.n1
         done = 0
         for piece in pieces:
             data, at, running, starts, words, word_at, owner, fold, lang = _word_keys(piece)[:-2]
